@@ -6,11 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, table
+from .decontamination import find_contaminated
 from .exact_dedup import mark_exact_duplicates
+from .packing import pack_documents
 from .simhash import near_components
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_exact_duplicates(documents(spark, sf_dir))
 
@@ -20,7 +36,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_exact_dedup, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op5_best_fit_packing, op8_exact_dedup, op9_simhash_near_dedup)}
 
 
 _EXACT_DEDUP = r"""
@@ -36,5 +52,24 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 
+_DECONTAMINATION = r"""
+WITH bw AS (
+  SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark WHERE item_id IS NOT NULL
+), bs AS (
+  SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM bw WHERE w <> [''])
+), bn AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1),
+dw AS (
+  SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents WHERE doc_id IS NOT NULL
+), ds AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM dw WHERE w <> [''])
+)
+SELECT doc_id, item_id, n AS item_shingles, count(*) AS matched, count(*) / n AS containment
+FROM ds JOIN bs USING (s) JOIN bn USING (item_id)
+GROUP BY doc_id, item_id, n HAVING count(*) >= ceil(n * 0.8 - 1e-9)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": _EXACT_DEDUP}
+    return {"op1_decontamination": _DECONTAMINATION, "op8_exact_dedup": _EXACT_DEDUP}
