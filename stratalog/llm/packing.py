@@ -179,7 +179,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ki
 
 def sequences(placed: DataFrame, pieces: DataFrame) -> DataFrame:
     """(sequence_id, ids) of packed sequences: the ids of their pieces in the order of their offsets. At most `capacity` pieces meet in a row."""
-    joined = placed.join(pieces.select("id", "piece", "ids"), ["id", "piece"])
+    joined = placed.select("id", "piece", "sequence_id", "offset").join(pieces.select("id", "piece", "ids"), ["id", "piece"])
     parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
     whole = F.aggregate(parts, F.lit(b"").cast("binary"), lambda out, p: F.concat(out, p["ids"]))
     return joined.groupBy("sequence_id").agg(whole.alias("ids"))

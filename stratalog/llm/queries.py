@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality, toxicity
+from .chat import digests, format_conversations, reply_chains
 from .common import documents, table
 from .decontamination import find_contaminated
 from .exact_dedup import mark_exact_duplicates
+from .html import extract
 from .packing import pack_documents
+from .passages import repeated_passages
 from .simhash import near_components
+from .sstable import tokenised_table
 
 
 def tokenizer_file(name: str) -> str:
@@ -23,10 +28,35 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenised_table(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
+def op4_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return digests(format_conversations(reply_chains(rows.unionByName(extra))))
+
+
+def op7_html_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_exact_duplicates(documents(spark, sf_dir))
 
@@ -35,8 +65,24 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(documents(spark, sf_dir))
 
 
+def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op5_best_fit_packing, op8_exact_dedup, op9_simhash_near_dedup)}
+    found = (
+        op1_decontamination,
+        op2_toxicity,
+        op3_sstable_tokens,
+        op4_quality_attention,
+        op5_best_fit_packing,
+        op6_reply_trees,
+        op7_html_tree_scoring,
+        op8_exact_dedup,
+        op9_simhash_near_dedup,
+        op10_compact_windows,
+    )
+    return {f.__name__: f for f in found}
 
 
 _EXACT_DEDUP = r"""
