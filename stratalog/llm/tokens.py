@@ -11,7 +11,7 @@ import os
 import numpy as np
 import regex
 
-#: A worker keeps the ids of so many stretches.
+#: A worker keeps the ids of so many stretches, the early ones being the frequent ones.
 MEMO = 400_000
 
 _kept: dict[tuple[str, str], Encoder] = {}
@@ -29,59 +29,86 @@ def _library(path: str):
 class Encoder:
     """encode(texts) -> for each text its ids as little-endian unsigned 32-bit integers."""
 
+    #: Where a stretch begins with a word, the word; the pattern of either tokenizer ends a token there.
+    HEAD = regex.compile(r" ?\p{L}+")
+
     def __init__(self, path: str, limit: int = MEMO):
         self.tokenizer, self.limit = _library(path), limit
         self.memo: dict[str, bytes] = {}
-
-    def met(self, text: str) -> bytes:
-        """The ids of a text whose stretches are all known; a KeyError otherwise."""
-        raise NotImplementedError
-
-    def split(self, text: str) -> list[str]:
-        """The keys of a text, in order; the ids of a key are those of the key as a text."""
-        raise NotImplementedError
+        # a special token parts texts before anything else looks at them, so many stretches go through the library as one text
+        self.marked = _library(path)
+        self.marked.encode_special_tokens = False
+        self.special = {t.content: i for i, t in self.marked.get_added_tokens_decoder().items() if t.special}
+        self.mark, self.mark_id = next(iter(self.special.items()), (None, None))
 
     def keep(self, key: str, ids: bytes) -> None:
         self.memo[key] = ids
 
-    def learn(self, keys: set[str]) -> dict[str, bytes]:
-        """The ids of the keys not known yet; they are kept while there is room, and the early ones are the frequent ones."""
-        new = [k for k in keys if k not in self.memo]
-        found = {k: np.asarray(e.ids, "<u4").tobytes() for k, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+    def parts(self, text: str, missing: list[tuple[list, int, str]]) -> list:
+        """The ids of a text's parts, or lists of the ids of their stretches where some aren't known; those are put down as (list, place, key)."""
+        raise NotImplementedError
+
+    def ids(self, keys: set[str]) -> dict[str, bytes]:
+        """The ids of keys; a word that ASCII punctuation follows is a key of its own, so it is encoded once for all that may follow."""
+        cuts = {}
+        for k in keys:
+            m = self.HEAD.match(k)
+            if m is not None and m.end() < len(k) and k[m.end() :].isascii():
+                cuts[k] = k[: m.end()], k[m.end() :]
+        wanted = {x for k in keys for x in cuts.get(k, (k,))}
+        found = {k: self.memo[k] for k in wanted if k in self.memo}
+        found |= self.by_library(wanted - found.keys())
+        found |= {k: found[a] + found[b] for k, (a, b) in cuts.items()}
         if len(self.memo) < self.limit:
             for key, ids in found.items():
                 self.keep(key, ids)
         return found
 
+    def by_library(self, keys: set[str]) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
+        alone = [k for k in keys if self.mark is None or any(s in k for s in self.special)]
+        for k, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            found[k] = np.asarray(e.ids, "<u4").tobytes()
+        rest = [k for k in keys if k not in found]
+        for at in range(0, len(rest), 5_000):
+            some = rest[at : at + 5_000]
+            ids = np.asarray(self.marked.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            raw, began = ids.tobytes(), 0
+            for k, end in zip(some, [*(4 * np.flatnonzero(ids == self.mark_id)).tolist(), len(raw)], strict=True):
+                found[k] = raw[began:end]
+                began = end + 4
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        left = []
-        for i, text in enumerate(texts):
-            try:
-                out[i] = self.met(text)
-            except KeyError:
-                left.append(i)
+        out: list[bytes] = []
         at = 0
-        while at < len(left):
-            parts, size, began = [], 0, at
-            while at < len(left) and size < 2_000_000:
-                parts.append(self.split(texts[left[at]]))
-                size += len(texts[left[at]])
+        while at < len(texts):
+            rows, missing, size = [], [], 0
+            while at < len(texts) and size < 2_000_000:
+                rows.append(self.parts(texts[at], missing))
+                size += len(texts[at])
                 at += 1
-            new = self.learn(set().union(*parts))
-            for i, keys in zip(left[began:at], parts, strict=True):
-                out[i] = b"".join([new[k] if k in new else self.memo[k] for k in keys])
+            found = self.ids({key for _, _, key in missing})
+            for got, i, key in missing:
+                got[i] = found[key]
+            out += [b"".join([p if p.__class__ is bytes else b"".join(p) for p in r]) for r in rows]
         return out
 
 
+def _joined(got: list, missing: list, keys: list[str]) -> bytes | list:
+    try:
+        return b"".join(got)
+    except TypeError:  # None for a stretch not known
+        missing += [(got, i, keys[i]) for i, g in enumerate(got) if g is None]
+        return got
+
+
 class WordEncoder(Encoder):
     """For tokenizers that drop white space: spaces and line ends always part tokens."""
 
-    def split(self, text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ")
-
-    def met(self, text: str) -> bytes:
-        return b"".join(map(self.memo.__getitem__, text.replace("\n", " ").split(" ")))
+    def parts(self, text: str, missing: list) -> list:
+        words = text.replace("\n", " ").split(" ")
+        return [_joined(list(map(self.memo.get, words)), missing, words)]
 
 
 class ByteEncoder(Encoder):
@@ -95,6 +122,7 @@ class ByteEncoder(Encoder):
 
     def __init__(self, path: str, limit: int = MEMO):
         super().__init__(path, limit)
+        self.line_end = self.ids({"\n"})["\n"]
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}  # by the stretch without its space
 
@@ -104,22 +132,28 @@ class ByteEncoder(Encoder):
         if bare and not bare[0].isspace() and not bare[-1].isspace() and " " not in bare:
             (self.plain if bare is key else self.spaced)[bare] = ids
 
-    def met(self, text: str) -> bytes:
-        lines = []
-        for line in text.split("\n"):
-            first, _, rest = line.partition(" ")
-            lines.append(self.plain[first] + b"".join(map(self.spaced.__getitem__, rest.split(" "))) if rest else self.plain[line])
-        return self.memo["\n"].join(lines) if len(lines) > 1 else lines[0]
-
-    def split(self, text: str) -> list[str]:
-        out: list[str] = []
+    def parts(self, text: str, missing: list) -> list:
+        out: list = []
+        began = len(missing)
         for line in text.split("\n"):
             words = line.split(" ")
-            if not all(w and not w[0].isspace() and not w[-1].isspace() for w in words):
-                return self.PATTERN.findall(text)
-            out += ["\n"] if out else []
-            out.append(words[0])
-            out += [" " + w for w in words[1:]]
+            got = list(map(self.spaced.get, words))
+            got[0] = self.plain.get(words[0])
+            try:
+                whole = b"".join(got)
+            except TypeError:
+                for i, g in enumerate(got):
+                    if g is None:
+                        w = words[i]
+                        if not w or w[0].isspace() or w[-1].isspace():
+                            del missing[began:]
+                            keys = self.PATTERN.findall(text)
+                            return [_joined(list(map(self.memo.get, keys)), missing, keys)]
+                        missing.append((got, i, " " + w if i else w))
+                whole = got
+            if out:
+                out.append(self.line_end)
+            out.append(whole)
         return out
 
 
