@@ -1,114 +1,109 @@
 """Token ids by the tokenizers library, each distinct stretch between spaces being encoded once per worker.
 
-The library encodes about a megabyte of these texts a second. Between blanks the two tokenizers used here treat a
-stretch alike wherever it stands, so a worker keeps the ids of the stretches it has met; ids are the library's own.
+The library encodes about a megabyte of these texts a second, most of which goes into aligning the text with its
+tokens. Between blanks the two tokenizers used here treat a stretch alike wherever it stands, so a worker keeps the ids
+of the stretches it has met; a stretch that holds a word goes straight to the library's merge model.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 import numpy as np
 import regex
 
-#: A worker keeps the ids of so many stretches, the early ones being the frequent ones.
-MEMO = 400_000
+#: Two generations of so many stretches stay in a worker's memory.
+MEMO = 300_000
 
 _kept: dict[tuple[str, str], Encoder] = {}
 
 
-def _library(path: str):
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+def _byte_letters() -> dict[int, str]:
+    """The visible letters that byte-level models have for bytes: a byte that is visible in Latin-1 stands for itself, the others follow from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = sorted(set(range(256)) - set(visible))
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+
+_LETTERS = _byte_letters()
+
+
+class _Memo(dict):
+    """Ids by stretch, encoded when first asked for. A full memo becomes the old one, from which what is still in use returns."""
+
+    def __init__(self, encode: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.encode, self.limit = encode, limit
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.encode(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = ids
+        return ids
 
 
 class Encoder:
     """encode(texts) -> for each text its ids as little-endian unsigned 32-bit integers."""
 
-    #: Where a stretch begins with a word, the word; the pattern of either tokenizer ends a token there.
-    HEAD = regex.compile(r" ?\p{L}+")
+    #: A word and the ASCII punctuation after it: two pieces to the pattern of either tokenizer.
+    WORD = regex.compile(r"(\p{L}+)([!-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str, limit: int = MEMO):
-        self.tokenizer, self.limit = _library(path), limit
-        self.memo: dict[str, bytes] = {}
-        # a special token parts texts before anything else looks at them, so many stretches go through the library as one text
-        self.marked = _library(path)
-        self.marked.encode_special_tokens = False
-        self.special = {t.content: i for i, t in self.marked.get_added_tokens_decoder().items() if t.special}
-        self.mark, self.mark_id = next(iter(self.special.items()), (None, None))
-
-    def keep(self, key: str, ids: bytes) -> None:
-        self.memo[key] = ids
-
-    def parts(self, text: str, missing: list[tuple[list, int, str]]) -> list:
-        """The ids of a text's parts, or lists of the ids of their stretches where some aren't known; those are put down as (list, place, key)."""
-        raise NotImplementedError
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
+        self.raw = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values()))]
+        self.tails = _Memo(self.piece, limit)
+
+    def piece(self, piece: str, before: str = "") -> bytes:
+        """The ids of one piece of the tokenizer's pattern, normalised before; `before` is a beginning in the model's letters."""
+        if not (piece.isascii() and piece.isalnum()):
+            piece = piece.encode("utf-8").decode("latin-1").translate(_LETTERS)
+        return b"".join([self.raw[t.id] for t in self.merge(before + piece)])
 
-    def ids(self, keys: set[str]) -> dict[str, bytes]:
-        """The ids of keys; a word that ASCII punctuation follows is a key of its own, so it is encoded once for all that may follow."""
-        cuts = {}
-        for k in keys:
-            m = self.HEAD.match(k)
-            if m is not None and m.end() < len(k) and k[m.end() :].isascii():
-                cuts[k] = k[: m.end()], k[m.end() :]
-        wanted = {x for k in keys for x in cuts.get(k, (k,))}
-        found = {k: self.memo[k] for k in wanted if k in self.memo}
-        found |= self.by_library(wanted - found.keys())
-        found |= {k: found[a] + found[b] for k, (a, b) in cuts.items()}
-        if len(self.memo) < self.limit:
-            for key, ids in found.items():
-                self.keep(key, ids)
-        return found
-
-    def by_library(self, keys: set[str]) -> dict[str, bytes]:
-        found: dict[str, bytes] = {}
-        alone = [k for k in keys if self.mark is None or any(s in k for s in self.special)]
-        for k, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            found[k] = np.asarray(e.ids, "<u4").tobytes()
-        rest = [k for k in keys if k not in found]
-        for at in range(0, len(rest), 5_000):
-            some = rest[at : at + 5_000]
-            ids = np.asarray(self.marked.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids, "<u4")
-            raw, began = ids.tobytes(), 0
-            for k, end in zip(some, [*(4 * np.flatnonzero(ids == self.mark_id)).tolist(), len(raw)], strict=True):
-                found[k] = raw[began:end]
-                began = end + 4
-        return found
+    def by_library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def text(self, text: str) -> bytes:
+        raise NotImplementedError
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            rows, missing, size = [], [], 0
-            while at < len(texts) and size < 2_000_000:
-                rows.append(self.parts(texts[at], missing))
-                size += len(texts[at])
-                at += 1
-            found = self.ids({key for _, _, key in missing})
-            for got, i, key in missing:
-                got[i] = found[key]
-            out += [b"".join([p if p.__class__ is bytes else b"".join(p) for p in r]) for r in rows]
-        return out
-
-
-def _joined(got: list, missing: list, keys: list[str]) -> bytes | list:
-    try:
-        return b"".join(got)
-    except TypeError:  # None for a stretch not known
-        missing += [(got, i, keys[i]) for i, g in enumerate(got) if g is None]
-        return got
+        return [self.text(t) for t in texts]
 
 
 class WordEncoder(Encoder):
-    """For tokenizers that drop white space: spaces and line ends always part tokens."""
+    """For tokenizers that compose and lower-case letters and drop white space: spaces and line ends always part tokens."""
+
+    def __init__(self, path: str, limit: int = MEMO):
+        super().__init__(path, limit)
+        self.heads, self.memo = _Memo(self.piece, limit), _Memo(self.stretch, limit)
+
+    def stretch(self, key: str) -> bytes:
+        if key.isascii() and key.isalpha():
+            return self.piece(key.lower())
+        m = self.WORD.fullmatch(key)
+        if m is not None:
+            word = m[1].lower()
+            # composed and lower-cased alike everywhere: letters of the first two Latin blocks that stay letters
+            if word.isascii() or (max(word) < "ƀ" and word.isalpha()):
+                return self.heads[word] + self.tails[m[2]] if m[2] else self.piece(word)
+        return self.by_library(key)
+
+    def text(self, text: str) -> bytes:
+        return b"".join(map(self.memo.__getitem__, text.replace("\n", " ").split(" ")))
+
 
-    def parts(self, text: str, missing: list) -> list:
-        words = text.replace("\n", " ").split(" ")
-        return [_joined(list(map(self.memo.get, words)), missing, words)]
+class _OddSpace(Exception):
+    """White space other than single spaces and line ends between visible characters."""
 
 
 class ByteEncoder(Encoder):
@@ -122,39 +117,39 @@ class ByteEncoder(Encoder):
 
     def __init__(self, path: str, limit: int = MEMO):
         super().__init__(path, limit)
-        self.line_end = self.ids({"\n"})["\n"]
-        self.plain: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}  # by the stretch without its space
-
-    def keep(self, key: str, ids: bytes) -> None:
-        self.memo[key] = ids
-        bare = key[1:] if key[:1] == " " else key
-        if bare and not bare[0].isspace() and not bare[-1].isspace() and " " not in bare:
-            (self.plain if bare is key else self.spaced)[bare] = ids
-
-    def parts(self, text: str, missing: list) -> list:
-        out: list = []
-        began = len(missing)
-        for line in text.split("\n"):
-            words = line.split(" ")
-            got = list(map(self.spaced.get, words))
-            got[0] = self.plain.get(words[0])
-            try:
-                whole = b"".join(got)
-            except TypeError:
-                for i, g in enumerate(got):
-                    if g is None:
-                        w = words[i]
-                        if not w or w[0].isspace() or w[-1].isspace():
-                            del missing[began:]
-                            keys = self.PATTERN.findall(text)
-                            return [_joined(list(map(self.memo.get, keys)), missing, keys)]
-                        missing.append((got, i, " " + w if i else w))
-                whole = got
-            if out:
-                out.append(self.line_end)
-            out.append(whole)
-        return out
+        self.line_end = self.piece("\n")
+        self.heads = _Memo(self.after_space, limit)
+        self.spaced = _Memo(self.stretch, limit)  # by the stretch without its space
+        self.pieces = _Memo(self.piece, limit)
+
+    def stretch(self, key: str) -> bytes:
+        if key.isascii() and key.isalpha():
+            return self.after_space(key)
+        m = self.WORD.fullmatch(key)
+        if m is not None:
+            return self.heads[m[1]] + self.tails[m[2]] if m[2] else self.after_space(key)
+        return self.by_pattern(" " + self.checked(key))
+
+    def after_space(self, word: str) -> bytes:
+        return self.piece(word, _LETTERS[0x20])
+
+    def checked(self, key: str) -> str:
+        if not key or key[0].isspace() or key[-1].isspace():
+            raise _OddSpace
+        return key
+
+    def by_pattern(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.PATTERN.findall(text)))
+
+    def text(self, text: str) -> bytes:
+        try:
+            lines = []
+            for line in text.split("\n"):
+                first, *rest = line.split(" ")
+                lines.append(b"".join([self.by_pattern(self.checked(first)), *map(self.spaced.__getitem__, rest)]))
+            return self.line_end.join(lines)
+        except _OddSpace:
+            return self.by_pattern(text)
 
 
 def encoder(kind: str, path: str) -> Encoder:
