@@ -30,9 +30,16 @@ SAMPLE_ROWS, MAX_TERMS = 20_000, 2_000
 STEMS, WINDOW, MENTION = range(4, 8), 8, 0.35
 PRIOR = 0.6  # worth of a misspelling never met, two observations strong
 
-_TOKEN = re.compile(r"[^\W_]+|[\"“”„«»‘’`']")
 _WORD = re.compile(r"[^\W_]+")
-_QUOTES = frozenset("\"“”„«»‘’`'")
+#: Words and quotation marks. Apostrophes between letters, and those of words that lose their beginning, are no marks; others open or close by the side they stand on.
+_TOKEN = re.compile(
+    r"[^\W_]+|[\"“”„«»`]"
+    r"|(?<=[^\W_])['‘’](?=[^\W_])(?P<inside>)|['‘’](?=(?:cause|em|til|tis|twas|twere|bout|round|nuff|n)\b)(?P<clipped>)"
+    r"|['‘’](?=[^\W_])(?P<opens>)|(?<=[^\W_])['‘’](?P<closes>)|(?<!\S)['‘’](?=\S)(?P<opens_before_mark>)|(?<=\S)['‘’](?P<closes_after_mark>)|['‘’]"
+)
+_OPENS, _CLOSES = "‘", "’"
+_SINGLE = {"opens": _OPENS, "opens_before_mark": _OPENS, "closes": _CLOSES, "closes_after_mark": _CLOSES}
+_QUOTES = frozenset("\"“”„«»`'")
 #: Reporting words beside which a term is mentioned, not used.
 _REPORTING = frozenset("said says say wrote writes quote quoted quotes quoting word words term terms called cites cited phrase zitat wort sagte schrieb mot citation dit écrit palabra cita dijo escribió".split())
 #: Words that aim a term at the reader.
@@ -134,11 +141,19 @@ class LexiconAutomaton:
         return hits
 
 
+def tokens_of(low: str) -> list[str]:
+    """Words and quotation marks of a lower-cased text; a single mark is ‘ where it opens, ’ where it closes and ' where it stands alone."""
+    found = ((m.lastgroup, m[0]) for m in _TOKEN.finditer(low))
+    return [_SINGLE.get(kind, t if t not in "‘’" else "'") for kind, t in found if kind not in ("inside", "clipped")]
+
+
 def is_mention(tokens: list[str], at: int) -> bool:
     """Quotation marks on both sides within the window, or a reporting word close by."""
     before, after = tokens[max(0, at - WINDOW) : at], tokens[at + 1 : at + 1 + WINDOW]
     if any(t in _REPORTING for t in before[-3:] + after[:3]):
         return True
+    if _CLOSES in after and next((t for t in reversed(before) if t in (_OPENS, _CLOSES)), "") == _OPENS:
+        return True
     return sum(t in _QUOTES for t in before) % 2 == 1 and any(t in _QUOTES for t in after)
 
 
@@ -169,7 +184,7 @@ class Scorer:
         hits = {w: v for w in self.automaton.matches(set(_WORD.findall(low)), self.memo) if (v := self.value(w)) > self.base}
         if not hits:
             return round(self.base / 2, 6)
-        tokens = _TOKEN.findall(low)
+        tokens = tokens_of(low)
         clean, mentioned = 1.0, 0.0
         for i, t in enumerate(tokens):
             if (v := hits.get(t)) is not None:
