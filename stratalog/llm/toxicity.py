@@ -46,20 +46,24 @@ _REPORTING = frozenset("said says say wrote writes quote quoted quotes quoting w
 _AIMED = frozenset("you your youre you're u ur du dich dein deine ihr tu toi ton ta vous votre tú usted vosotros eres".split())
 
 
-def errors_allowed(term: str, stem: bool) -> int:
-    return 0 if stem or len(term) < 5 else 1 if len(term) < 10 else 2
+#: Errors that the scorer allows in a stem, whatever follows it.
+STEM_ERRORS = 1
+
+
+def errors_allowed(term: str, stem: bool, in_stem: int = 0) -> int:
+    return in_stem if stem else 0 if len(term) < 4 else 1 if len(term) < 10 else 2
 
 
 class LexiconAutomaton:
-    """match(word) -> (term number, errors) of the best term, or None. Terms are words, or stems that any ending may follow."""
+    """match(word) -> (term number, errors) of the best term, or None. Terms are words, or stems that any ending may follow; a stem takes stem_errors errors."""
 
-    def __init__(self, terms: list[tuple[str, bool]], memo: int = 200_000):
-        self.terms, self.limit = terms, memo
+    def __init__(self, terms: list[tuple[str, bool]], memo: int = 200_000, stem_errors: int = 0):
+        self.terms, self.limit, self.stem_errors = terms, memo, stem_errors
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         self.budget: list[int] = [0]  # the most errors that a term below the node allows
         for k, (term, stem) in enumerate(terms):
-            at, allowed = 0, errors_allowed(term, stem)
+            at, allowed = 0, errors_allowed(term, stem, stem_errors)
             self.budget[0] = max(self.budget[0], allowed)
             for c in term:
                 if c not in self.children[at]:
@@ -93,12 +97,12 @@ class LexiconAutomaton:
     def _state(self, pairs) -> int:
         closed = self._closed(pairs)
         if closed not in self.states:
-            hits = [(e, k) for node, e in closed for k in self.ends[node] if e <= errors_allowed(*self.terms[k])]
+            hits = [(e, k) for node, e in closed for k in self.ends[node] if e <= errors_allowed(*self.terms[k], self.stem_errors)]
             stems = [(e, k) for e, k in hits if self.terms[k][1]]
             self.states[closed] = len(self.sets)
             self.sets.append(closed)
             self.step.append({})
-            self.found.append(min(hits)[::-1] if hits else None)
+            self.found.append(min(hits, key=lambda x: (x[0], self.terms[x[1]][1], x[1]))[::-1] if hits else None)
             self.stem.append(min(stems)[::-1] if stems else None)
         return self.states[closed]
 
@@ -122,9 +126,11 @@ class LexiconAutomaton:
             state = steps[c] if c in steps else self._next(state, c)
             if state < 0:
                 return stem
-            if self.stem[state] is not None:
-                stem = self.stem[state]
-        return self.found[state] or stem
+            here = self.stem[state]
+            if here is not None and (stem is None or here[1] <= stem[1]):
+                stem = here
+        found = self.found[state]
+        return found if found is not None and (stem is None or found[1] <= stem[1]) else stem
 
     def matches(self, words: set[str], memo: dict[str, tuple[int, int] | None]) -> list[str]:
         """The words that match; memo keeps what was found for each word while there is room."""
@@ -168,7 +174,7 @@ class Scorer:
         self.terms, self.worth, self.misspelt, self.known, self.base = terms, worth, misspelt, known, base
 
     def prepare(self) -> Scorer:
-        self.automaton, self.memo = LexiconAutomaton(self.terms), {}
+        self.automaton, self.memo = LexiconAutomaton(self.terms, stem_errors=STEM_ERRORS), {}
         return self
 
     def value(self, word: str) -> float:
@@ -275,15 +281,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 continue
             if not any(w.startswith(s) and v[0] >= 0.8 * stems[s][0] for w, v in words.items()):
                 terms[s, True] = stems[s]
-        for w, v in words.items():
-            if not any((w[:k], True) in terms for k in STEMS):
-                terms[w, False] = v
+        terms |= {(w, False): v for w, v in words.items()}  # those of a stem too: long ones take more errors than it does
         terms = dict(sorted(terms.items(), key=lambda x: (-x[1][0], x[0]))[:max_terms])
     names = sorted(terms)
     scorer = Scorer(names, [(terms[t][0] + base) / (sum(terms[t]) + 1) for t in names], [PRIOR] * len(names), {}, base).prepare()
 
     def misspellings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton, memo, seen = LexiconAutomaton(names), {}, Counter()
+        automaton, memo, seen = LexiconAutomaton(names, stem_errors=STEM_ERRORS), {}, Counter()
         for b in batches:
             for text, y in zip(b["text"], b["y"], strict=True):
                 hits = automaton.matches(set(_WORD.findall(text.lower())), memo)
@@ -294,14 +298,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     if names:
         got = rows.mapInPandas(misspellings, "w string, k int, toxic long, clean long").groupBy("w", "k").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        by_term, known = {}, {}
-        for r in got.orderBy(F.desc(F.col("toxic") + F.col("clean")), "w").limit(50_000).collect():
-            by_term.setdefault(r["k"], []).append((r["w"], r["toxic"], r["clean"]))
-        for k, ws in by_term.items():
-            a, b = sum(x[1] for x in ws), sum(x[2] for x in ws)
-            scorer.misspelt[k] = (a + 2 * PRIOR) / (a + b + 2)
-            known |= {w: (x + scorer.misspelt[k]) / (x + y + 1) for w, x, y in ws}
-        scorer.known = known
+        got = materialise(got, "misspellings")
+        # each spelling met counts once: one ordinary word near a term, however frequent, says little of spellings never met
+        for r in got.groupBy("k").agg(F.sum(F.col("toxic") / (F.col("toxic") + F.col("clean"))).alias("toxic"), F.count(F.lit(1)).alias("met")).collect():
+            scorer.misspelt[r["k"]] = (r["toxic"] + 2 * PRIOR) / (r["met"] + 2)
+        often = got.orderBy(F.desc(F.col("toxic") + F.col("clean")), "w").limit(50_000).collect()
+        scorer.known = {r["w"]: (r["toxic"] + scorer.misspelt[r["k"]]) / (r["toxic"] + r["clean"] + 1) for r in often}
     return Scorer(scorer.terms, scorer.worth, scorer.misspelt, scorer.known, scorer.base)
 
 
