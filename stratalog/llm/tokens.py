@@ -59,10 +59,19 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
         self.raw = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values()))]
         self.tails = _Memo(self.piece, limit)
+        self.added = self._added()
+
+    def _added(self) -> regex.Pattern | None:
+        """The file's added tokens, looked for in the raw text: the leftmost, and of those the longest. Others than plain ones aren't handled."""
+        found = self.tokenizer.get_added_tokens_decoder()
+        self.added_ids = {t.content: self.raw[i] for i, t in found.items()}
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in found.values()):
+            raise ValueError("added tokens with normalisation, word borders or stripping")
+        names = sorted(self.added_ids, key=len, reverse=True)
+        return regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
     def piece(self, piece: str, before: str = "") -> bytes:
         """The ids of one piece of the tokenizer's pattern, normalised before; `before` is a beginning in the model's letters."""
@@ -76,8 +85,14 @@ class Encoder:
     def text(self, text: str) -> bytes:
         raise NotImplementedError
 
+    def whole(self, text: str) -> bytes:
+        """The ids of a text, parted first at added tokens, each of which is one id."""
+        if self.added is None or self.added.search(text) is None:
+            return self.text(text)
+        return b"".join([self.added_ids[p] if k % 2 else self.text(p) for k, p in enumerate(self.added.split(text)) if p])
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [self.text(t) for t in texts]
+        return [self.whole(t) for t in texts]
 
 
 class WordEncoder(Encoder):
