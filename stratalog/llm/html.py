@@ -2,7 +2,8 @@
 
 Pages become trees of their block elements. Paragraphs pass points for length and commas to their ancestors, the parent
 in full and each further one a share; a container's points are discounted by its share of linked text. The best container
-is kept with those siblings that look like more of the same; what is named as furniture never takes part.
+is kept with those siblings that look like more of the same. Elements of furniture and hidden ones never take part; what only
+a name calls furniture does where it holds the page's article or most of its paragraph points, at a discount.
 """
 
 from __future__ import annotations
@@ -36,29 +37,35 @@ _NAMES = frozenset(
 )
 #: Names that speak for the article, even beside one of the above.
 _CONTENT = frozenset("article articlebody body content entry main post story text maincontent".split())
+#: Names of what readers add: long at times, and the article only where nothing else is.
+_REPLIES = frozenset("comment comments disqus respond reply replies".split())
+#: What is left of the worth of a container that a name calls furniture and none calls content.
+DISCOUNT = 0.25
 _CLOSES_P = BLOCKS - {"html", "body"}
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("children", "furniture", "linked", "named", "parent", "points", "tag")
+    __slots__ = ("by_name", "children", "furniture", "linked", "named", "parent", "points", "replies", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, furniture: bool = False, named: bool = False):
+    def __init__(self, tag: str, parent: Node | None, furniture: bool = False, named: bool = False, by_name: bool = False, replies: bool = False):
         self.tag, self.parent, self.furniture, self.named = tag, parent, furniture, named
+        self.by_name, self.replies = by_name, replies  # furniture by a name alone; one for what readers add
         self.children: list[Node | str] = []
         self.linked, self.points = 0, 0.0
 
 
-def _is_furniture(tag: str, attrs: str, inside_article: bool) -> tuple[bool, bool]:
-    """(furniture, named as content). A header is furniture unless it is that of an article."""
+def _is_furniture(tag: str, attrs: str, inside_article: bool) -> tuple[bool, bool, bool, bool]:
+    """(furniture, named as content, furniture by name alone, named as replies). A header is furniture unless it is that of an article."""
     if tag in FURNITURE or tag == "header" and not inside_article:
-        return True, False
+        return True, False, False, False
     if not attrs or tag in ("html", "body"):
-        return False, False
+        return False, False, False, False
     names = {w.lower() for m in _ATTR.finditer(attrs) for w in _SPLIT.split(m[1] or m[2] or m[3] or "") if w}
     named = bool(names & _CONTENT)
     bad = bool(names & _NAMES) and not (named and tag in ("article", "main")) or "header" in names and not inside_article
-    return bad or bool(_HIDDEN.search(attrs)), named
+    hidden = bool(_HIDDEN.search(attrs))
+    return bad or hidden, named, bad and not hidden, bool(names & _REPLIES)
 
 
 def parse(page: str) -> Node:
@@ -104,8 +111,7 @@ def parse(page: str) -> Node:
                 at = up.parent
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and at.tag in ({"li"} if tag == "li" else {"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else {tag}):
             at = at.parent
-        bad, named = _is_furniture(tag, m["attrs"] or "", articles > 0)
-        node = Node(tag, at, bad, named)
+        node = Node(tag, at, *_is_furniture(tag, m["attrs"] or "", articles > 0))
         at.children.append(node)
         if tag not in _VOID and not (m["attrs"] or "").endswith("/"):
             at = node
@@ -113,6 +119,62 @@ def parse(page: str) -> Node:
     return root
 
 
+def _own(n: Node) -> str:
+    return " ".join("".join(c for c in n.children if isinstance(c, str)).split())
+
+
+def _points(n: Node, own: str) -> float:
+    """Points of a node's own text."""
+    if own and (n.tag in _PARAGRAPHS or n.tag not in _HEADINGS | {"li"}) and min(n.linked, len(own)) < 0.5 * len(own):
+        return 1 + own.count(",") + own.count("，") + min(len(own) / 100, 3)
+    return 0.0
+
+
+def _readmit(root: Node) -> tuple[dict[Node, float], dict[Node, int]]:
+    """Furniture by name alone takes part where it holds the page's only articles or most of the paragraph points; replies only where there is nothing else. Returns the points and articles below each node, if there are such names."""
+    order, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        stack.extend(c for c in reversed(n.children) if not isinstance(c, str) and (c.by_name or not c.furniture))
+    if not any(n.by_name for n in order):
+        return {}, {}
+    inside: dict[Node, float] = {}  # points below a node that aren't replies, or all below replies
+    articles: dict[Node, int] = {}
+    for n in reversed(order):
+        below = [c for c in n.children if c in inside]
+        open_ = [c for c in below if n.replies and n.by_name or not (c.by_name and c.replies and not c.named)]
+        inside[n] = _points(n, _own(n)) + sum(inside[c] for c in open_)
+        articles[n] = (n.tag in ("article", "main") and not n.by_name) + sum(articles[c] for c in open_)
+    total, total_articles = inside[root], articles[root]
+    for n in order:
+        if n.by_name and n.furniture:
+            if n.replies and not n.named:
+                n.furniture = total > 0 or inside[n] <= 0
+            else:
+                n.furniture = not (inside[n] > 0.5 * total or total_articles and articles[n] == total_articles)
+    return inside, articles
+
+
+def _drop_outweighed(best: Node, inside: dict[Node, float], articles: dict[Node, int]) -> None:
+    """What a name calls furniture goes from the best container if the rest of that is the article, points being discounted."""
+    stack = [c for c in best.children if not isinstance(c, str)]
+    while stack:
+        n = stack.pop()
+        if n.by_name and not n.furniture and not n.named and not articles[n] and inside[best] - inside[n] >= DISCOUNT * inside[n]:
+            n.furniture = True
+        if not n.furniture:
+            stack.extend(c for c in n.children if not isinstance(c, str))
+
+
+def _discounts(order: list[Node]) -> dict[Node, float]:
+    """The share of its worth that each container keeps, as the names of it and of those around it say."""
+    keeps: dict[Node, float] = {}
+    for n in order:
+        keeps[n] = keeps.get(n.parent, 1.0) * (DISCOUNT if n.by_name and not n.named else 1.0)
+    return keeps
+
+
 def _measure(node: Node, sums: dict[Node, tuple[int, int]]) -> list[Node]:
     """Points for all containers below node; sums gets (characters, linked characters). Returns them in page order."""
     order, stack = [], [node]
@@ -121,16 +183,17 @@ def _measure(node: Node, sums: dict[Node, tuple[int, int]]) -> list[Node]:
         order.append(n)
         stack.extend(c for c in reversed(n.children) if not isinstance(c, str) and not c.furniture)
     for n in reversed(order):
-        own = " ".join("".join(c for c in n.children if isinstance(c, str)).split())
+        own = _own(n)
         chars, linked = len(own), min(n.linked, len(own))
-        if own and (n.tag in _PARAGRAPHS or n.tag not in _HEADINGS | {"li"}) and linked < 0.5 * chars:
-            points = 1 + own.count(",") + own.count("，") + min(chars / 100, 3)
+        if points := _points(n, own):
             up, share = (n.parent if n.tag in _PARAGRAPHS else n), 1.0
             depth = 0
+            left = DISCOUNT if up is not n and n.by_name and not n.named else 1.0
             while up is not None:
-                up.points += points * share
+                up.points += points * share * left
                 depth += 1
                 share = 0.5 if depth == 1 else 1 / (3 * depth)
+                left *= DISCOUNT if up.by_name and not up.named else 1.0
                 up = up.parent
         for c in n.children:
             if not isinstance(c, str) and not c.furniture:
@@ -167,13 +230,15 @@ def _blocks(node: Node) -> list[str]:
 def main_text(page: str) -> str:
     """The article of a page: its blocks in page order, white space inside each turned into single spaces, joined by two line ends. Empty if there is none."""
     root = parse(page)
+    inside, articles = _readmit(root)
     sums: dict[Node, tuple[int, int]] = {}
     order = _measure(root, sums)
+    keeps = _discounts(order)
 
     def worth(n: Node) -> float:
         chars, linked = sums[n]
         bonus = 1.5 if n.tag in ("article", "main") else 1.25 if n.named else 1.0
-        return n.points * bonus * (1 - linked / chars) if chars else 0.0
+        return n.points * keeps[n] * bonus * (1 - linked / chars) if chars else 0.0
 
     scored = [n for n in order if n.points > 0 and n.tag not in _HEADINGS]
     if not scored:
@@ -187,6 +252,8 @@ def main_text(page: str) -> str:
         best = up
     if best.tag in _PARAGRAPHS and best.parent is not None:
         best = best.parent
+    if inside:
+        _drop_outweighed(best, inside, articles)
     bar, out = max(4.0, 0.2 * worth(best)), []
     for n in best.parent.children if best.parent is not None else [best]:
         if n is best:
