@@ -258,7 +258,7 @@ def main_text(page: str) -> str:
     for n in best.parent.children if best.parent is not None else [best]:
         if n is best:
             out += _blocks(n)
-        elif isinstance(n, Node) and not n.furniture and best.tag not in ("article", "main", "body", "html"):
+        elif isinstance(n, Node) and not n.furniture and best.tag not in ("body", "html"):
             chars, linked = sums[n]
             own = " ".join("".join(c for c in n.children if isinstance(c, str)).split())
             if worth(n) >= bar or n.tag == "p" and chars and linked < 0.25 * chars and (len(own) > 80 or own.endswith((".", "!", "?"))) or n.tag in _HEADINGS and chars and not linked:
