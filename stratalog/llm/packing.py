@@ -121,14 +121,16 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(kind, tokenizer)
         for b in batches:
-            for at in range(0, len(b), 500):
-                part = b.iloc[at : at + 500]
-                rows = []
-                for i, ids in zip(part["id"], enc.encode(part["text"].tolist()), strict=True):
-                    ids += end
-                    rows += [(i, k, s, n, ids[4 * s : 4 * (s + n)]) for k, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
-                out = pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids"])
-                yield out.astype({"id": part["id"].dtype})
+            parts: list[tuple] = []
+            held = 0
+            for i, ids in zip(b["id"], enc.encode(b["text"].tolist()), strict=True):
+                ids += end
+                parts += [(i, k, s, n, ids[4 * s : 4 * (s + n)]) for k, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
+                held += len(ids)
+                if held > 4_000_000:
+                    yield pd.DataFrame(parts, columns=["id", "piece", "start", "length", "ids"]).astype({"id": b["id"].dtype})
+                    parts, held = [], 0
+            yield pd.DataFrame(parts, columns=["id", "piece", "start", "length", "ids"]).astype({"id": b["id"].dtype})
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text")).mapInPandas(work, PIECE)
 

@@ -75,8 +75,13 @@ class Writer:
             while shared < 9 and key[shared] == self.last[shared]:
                 shared += 1
         n = len(ids) // 4
+        if self.width == 2:
+            wide = np.frombuffer(ids, "<u4")
+            if n and wide.max() > 0xFFFF:
+                raise ValueError(f"id {wide.max()} doesn't fit into two bytes")
+            ids = wide.astype("<u2").tobytes()
         self.first = self.first or key
-        self.block += struct.pack("<BBI", shared, 9 - shared, n) + key[shared:] + (np.frombuffer(ids, "<u4").astype("<u2").tobytes() if self.width == 2 else ids)
+        self.block += struct.pack("<BBI", shared, 9 - shared, n) + key[shared:] + ids
         self.keys += key if key != self.last else b""
         self.last = key
         self.in_block, self.ids_in_block, self.entries, self.ids = self.in_block + 1, self.ids_in_block + n, self.entries + 1, self.ids + n
@@ -168,11 +173,12 @@ class Reader:
         return out
 
 
-def write_shards(docs: DataFrame, tokenizer: str, path: str, kind: str = "word", end_id: int = 1, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
+def write_shards(docs: DataFrame, tokenizer: str, path: str, kind: str = "word", end_id: int = 1, width: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """Shards below path, in ascending id order, one a partition of the session's spark.sql.shuffle.partitions; the manifest: uri, docs, ids of each, in order.
 
     Texts are dealt by ranges of ids and sorted, then encoded as they are written, so ids are never shuffled. A task that
     runs again writes a file of its own; the manifest names those of the tasks that ended well. Null texts are empty.
+    width is the bytes of an id; by default two where all ids of the tokenizer fit.
     """
     end = int(end_id).to_bytes(4, "little")
 
@@ -180,15 +186,14 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, kind: str = "word",
         from pyspark import TaskContext
 
         enc, part = encoder(kind, tokenizer), TaskContext.get().partitionId()
+        bytes_per_id = width or (2 if len(enc.raw) <= 1 << 16 and end_id < 1 << 16 else 4)
         out = uri = None
         for b in batches:
             if out is None:
                 uri = f"{path}/shard-{part:06d}-{uuid.uuid4().hex}.sst"
-                out = Writer(open_write(uri), width)
-            for at in range(0, len(b), 500):
-                rows = b.iloc[at : at + 500]
-                for has, i, ids in zip(rows["has"], rows["id"], enc.encode(rows["text"].tolist()), strict=True):
-                    out.add(int(i) if has else None, ids + end)
+                out = Writer(open_write(uri), bytes_per_id)
+            for has, i, ids in zip(b["has"].tolist(), b["id"].tolist(), enc.encode(b["text"].tolist()), strict=True):
+                out.add(i if has else None, ids + end)
         if out is not None:
             out.close()
             yield pd.DataFrame({"part": [part], "uri": [uri], "docs": [out.entries], "ids": [out.ids]})

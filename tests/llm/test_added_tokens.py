@@ -16,9 +16,9 @@ def test_added_tokens_are_the_untouched_library_s(cls, name):
     texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n\n", "<|<|endoftext|>|>", "don<|endoftext|>'t"]
     texts += ["".join(r.choice(parts) for _ in range(r.randint(0, 9))) for _ in range(3000)]
     want = [np.asarray(x.ids, "<u4").tobytes() for x in plain.encode_batch(texts, add_special_tokens=False)]
-    got = cls(tokenizer_file(name)).encode(texts)
+    got = list(cls(tokenizer_file(name)).encode(texts))
     assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
 
 
 def test_one_id_for_an_added_token():
-    assert np.frombuffer(ByteEncoder(tokenizer_file("byte_bpe_50k.json")).encode(["a <|endoftext|> b"])[0], "<u4").tolist() == [64, 220, 50256, 275]
+    assert np.frombuffer(next(ByteEncoder(tokenizer_file("byte_bpe_50k.json")).encode(["a <|endoftext|> b"])), "<u4").tolist() == [64, 220, 50256, 275]

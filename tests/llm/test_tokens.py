@@ -4,7 +4,9 @@ import zlib
 import numpy as np
 import pytest
 
-from stratalog.llm import packing, sstable
+from tokenizers import Tokenizer
+
+from stratalog.llm import packing, sstable, tokens
 from stratalog.llm.queries import tokenizer_file
 from stratalog.llm.tokens import ByteEncoder, WordEncoder
 
@@ -13,18 +15,33 @@ ODD = ["", "\n", " a", "a ", "a  b", "a\n\nb", "a\n", "\n\na\n \nb  c\t\td  ", "
 
 def odd_texts(n, seed):
     r = random.Random(seed)
-    alphabet = " \n\t a'sB1é² ́.,-|<>\x1c​中"
+    alphabet = " \n\t a'sB1éH\u0331×&² ́.,-|<>\x1c​中"
     return ODD + ["".join(r.choice(alphabet) for _ in range(r.randint(0, 25))) for _ in range(n)]
 
 
 @pytest.mark.parametrize(("cls", "name"), [(ByteEncoder, "byte_bpe_50k.json"), (WordEncoder, "word_bpe_49k.json")])
 def test_ids_are_the_library_s(cls, name):
     for limit in (10, 400_000):
-        e = cls(tokenizer_file(name), limit)
+        e, plain = cls(tokenizer_file(name), limit), Tokenizer.from_file(tokenizer_file(name))
         for seed in range(2):
             texts = odd_texts(1500, seed)
-            want = [np.asarray(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            assert e.encode(texts) == want
+            want = [np.asarray(x.ids, "<u4").tobytes() for x in plain.encode_batch(texts, add_special_tokens=False)]
+            assert list(e.encode(texts)) == want
+
+
+@pytest.mark.parametrize(("cls", "name"), [(ByteEncoder, "byte_bpe_50k.json"), (WordEncoder, "word_bpe_49k.json")])
+def test_texts_longer_than_a_chunk(cls, name, monkeypatch):
+    monkeypatch.setattr(tokens, "CHUNK", 300)
+    monkeypatch.setattr(tokens, "_BLOCK", 7)
+    texts = [" ".join(["Word, two.", "ÀÉ'llo!", "H\u0331 x"] * 40), "", "a<|endoftext|>b" * 50, "", ""]
+    want = [np.asarray(x.ids, "<u4").tobytes() for x in Tokenizer.from_file(tokenizer_file(name)).encode_batch(texts, add_special_tokens=False)]
+    assert list(cls(tokenizer_file(name)).encode(texts)) == want and list(cls(tokenizer_file(name)).encode([])) == []
+
+
+def test_ids_too_large_for_a_shard_are_refused(tmp_path):
+    w = sstable.Writer(open(tmp_path / "s", "wb"), 2)
+    with pytest.raises(ValueError, match="70000"):
+        w.add(1, (70_000).to_bytes(4, "little"))
 
 
 def slow_best_fit(lengths, capacity):
