@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as _entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe|math)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)", re.S | re.I)
+_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile(r"[>\"']")
+#: Elements whose content is no markup of the page's own, up to their end tag.
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template textarea title svg iframe math".split()}
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
@@ -41,6 +45,8 @@ _CONTENT = frozenset("article articlebody body content entry main post story tex
 _REPLIES = frozenset("comment comments disqus respond reply replies".split())
 #: What is left of the worth of a container that a name calls furniture and none calls content.
 DISCOUNT = 0.25
+#: A paragraph's points reach so many containers above it.
+ANCESTORS = 16
 _CLOSES_P = BLOCKS - {"html", "body"}
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
@@ -68,54 +74,122 @@ def _is_furniture(tag: str, attrs: str, inside_article: bool) -> tuple[bool, boo
     return bad or hidden, named, bad and not hidden, bool(names & _REPLIES)
 
 
+class _Ends:
+    """Where tags end: at the first > outside quotes. What is found for one place holds for all places that lead there, so a page costs its length however many tags it leaves open."""
+
+    def __init__(self, page: str):
+        self.page, self.known = page, {}
+        self.seen = range(0)  # from each of these places the next of > " and ' is at its end
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+
+    def _stop(self, at: int) -> int:
+        if at not in self.seen:
+            m = _STOP.search(self.page, at)
+            self.seen = range(at, (m.start() if m else len(self.page)) + 1)
+        return self.seen[-1]
+
+    def of(self, at: int) -> int:
+        """The place after the tag whose attributes begin at `at`; -1 if it never ends."""
+        passed = []
+        while True:
+            stop = self._stop(at)
+            if stop >= len(self.page) or self.known.get(stop) == -1:
+                end = -1
+                break
+            if stop in self.known:
+                end = self.known[stop]
+                break
+            passed.append(stop)
+            quote = self.page[stop]
+            if quote == ">":
+                end = stop + 1
+                break
+            if stop >= self.last[quote]:
+                end = -1
+                break
+            at = self.page.find(quote, stop + 1) + 1
+        self.known.update(dict.fromkeys(passed, end))
+        return end
+
+    def plain(self, at: int) -> int:
+        """The place after the next >, quotes or not."""
+        return self.page.find(">", at) + 1 if at <= self.last[">"] else -1
+
+
+def pieces(page: str) -> Iterator[tuple[str | None, str, bool]]:
+    """(tag in small letters, attributes, whether it ends) of each tag, (None, text, False) of each text, comments and raw elements left out. A < that starts nothing is text."""
+    at, size, ends = 0, len(page), _Ends(page)
+    while at < size:
+        begin = page.find("<", at)
+        if begin != at:
+            yield None, page[at:begin] if begin > 0 else page[at:], False
+            if begin < 0:
+                return
+        at = begin + 1
+        if page.startswith("!--", at):
+            end = page.find("-->", at + 3)
+            at = end + 3 if end >= 0 else size
+        elif (m := _TAG.match(page, begin)) is not None:
+            end = ends.of(m.end())
+            if end < 0:
+                yield None, "<", False
+                continue
+            tag, attrs, closing = m[1].lower(), page[m.end() : end - 1], page[at] == "/"
+            at = end
+            if tag not in _RAW:
+                yield tag, attrs, closing
+            elif not closing and not (attrs.endswith("/") and tag in ("svg", "math")):
+                close = _RAW[tag].search(page, end)
+                at = close.end() if close else size
+        elif page[at : at + 1] in ("!", "?", "/") and (end := ends.plain(at)) > 0:
+            at = end
+        else:
+            yield None, "<", False
+
+
 def parse(page: str) -> Node:
     """The tree of block elements; texts are strings between them, decoded. Unclosed and stray tags are borne."""
     root = at = Node("root", None)
     links = 0
-    articles = 0
-    for m in _PIECE.finditer(page):
-        text = m["text"]
-        if text is not None:
+    open_: Counter[str] = Counter()
+
+    def leave(upto: Node) -> Node:
+        nonlocal at
+        while at is not upto:
+            open_[at.tag] -= 1
+            at = at.parent
+        return at
+
+    for tag, text, closing in pieces(page):
+        if tag is None:
             if "&" in text:
                 text = _entities.unescape(text)
             at.children.append(text)
             if links:
                 at.linked += len(text.strip())
-            continue
-        tag = m["tag"]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if tag == "a":
-            links = 0 if m["end"] else 1
-            continue
-        if tag == "br":
+        elif tag == "a":
+            links = 0 if closing else 1
+        elif tag == "br":
             at.children.append("\n")
+        elif tag not in _TREE:
             continue
-        if tag not in _TREE:
-            continue
-        if m["end"]:
-            up = at
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is None or up is root:
-                continue
-            while at is not up.parent:
-                articles -= at.tag in ("article", "main")
-                at = at.parent
-            links = 0
-            continue
-        if tag in _CLOSES_P:
-            up = at
-            if up.tag == "p" or up.tag in _HEADINGS and tag in _HEADINGS | {"p"}:
-                at = up.parent
-        if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and at.tag in ({"li"} if tag == "li" else {"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else {tag}):
-            at = at.parent
-        node = Node(tag, at, *_is_furniture(tag, m["attrs"] or "", articles > 0))
-        at.children.append(node)
-        if tag not in _VOID and not (m["attrs"] or "").endswith("/"):
-            at = node
-            articles += tag in ("article", "main")
+        elif closing:
+            if open_[tag] > 0:
+                up = at
+                while up.tag != tag:
+                    up = up.parent
+                leave(up.parent)
+                links = 0
+        else:
+            if tag in _CLOSES_P and (at.tag == "p" or at.tag in _HEADINGS and tag in _HEADINGS | {"p"}):
+                leave(at.parent)
+            if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and at.tag in ({"li"} if tag == "li" else {"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else {tag}):
+                leave(at.parent)
+            node = Node(tag, at, *_is_furniture(tag, text, open_["article"] + open_["main"] > 0))
+            at.children.append(node)
+            if tag not in _VOID and not text.endswith("/"):
+                at = node
+                open_[tag] += 1
     return root
 
 
@@ -189,7 +263,7 @@ def _measure(node: Node, sums: dict[Node, tuple[int, int]]) -> list[Node]:
             up, share = (n.parent if n.tag in _PARAGRAPHS else n), 1.0
             depth = 0
             left = DISCOUNT if up is not n and n.by_name and not n.named else 1.0
-            while up is not None:
+            while up is not None and depth < ANCESTORS:
                 up.points += points * share * left
                 depth += 1
                 share = 0.5 if depth == 1 else 1 / (3 * depth)
