@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,15 +15,22 @@ from pyspark.sql import functions as F
 BLANKS = r"[\x20\x09-\x0D]"
 
 _cleanup: set[str] = set()
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Where that is unset, a session whose driver runs all tasks (master local) has one of its own; any other is refused,
+    for its executors wouldn't see the driver's files.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="stratalog-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-        spark.sparkContext.setCheckpointDir(where)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if spark.sparkContext.applicationId not in _own:
+            _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="stratalog-shared-")
+        where = _own[spark.sparkContext.applicationId]
     return where.rstrip("/")
 
 
@@ -73,6 +82,14 @@ def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """A column name like this one that none of the columns has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def salt_of(key: Column, salts: int) -> Column:
     """The same salt for the same key at every evaluation, on any partitioning."""
     return F.pmod(F.xxhash64(F.lit("salt"), key), F.lit(salts)).cast("int")

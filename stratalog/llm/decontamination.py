@@ -6,9 +6,10 @@ document when at least `THRESHOLD` of the item's distinct shingles occur in it,
 A symmetric sketch can't see a short item in a long document, so the sketch is one-sided and sized by the item. Items are
 partitioned by their number of shingles n; those of a partition keep their k = n - ceil(t * n) + 1 smallest shingle
 hashes (bottom-k MinHash). If t of the item's shingles are in a document, at most k - 1 are missing, so at least one of
-the k is there: the candidate search loses nothing, and looks at a fifth of the items' shingles. The largest hash that
-any sketch of the partitions holds bounds what has to be looked up; document shingles above it are dropped as they are
-made. Candidates are verified on the shingles themselves.
+the k is there: the candidate search loses nothing, and looks at a fifth of the items' shingles. The largest hash that a
+partition's sketches hold bounds what has to be looked up in it; document shingles above all bounds are dropped as they
+are made, and the bounds cut the hashes into ranges that are joined each with the sketches that reach so far. The
+shingles of candidate pairs, and of no others, are then compared themselves.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import materialise, text_of, unused
 
 WORDS, THRESHOLD = 5, 0.8
 
-#: Rows of a table that may be broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Bytes of a table that may be broadcast, as counted from its rows; beyond, the join shuffles.
+BROADCAST_BYTES = 32 << 20
+#: What a row without text takes in a broadcast table, roughly.
+_ROW_BYTES = 64
 
 
 def words_of(text: Column) -> Column:
@@ -46,8 +49,8 @@ def _shingle() -> Column:
     return F.concat_ws(" ", *[f"w{k}" for k in range(WORDS)])
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def find_contaminated(
@@ -66,28 +69,32 @@ def find_contaminated(
     ranked = shingles.withColumn("n", F.count(F.lit(1)).over(by_item)).withColumn("rank", F.row_number().over(by_item.orderBy("h", "shingle")))
     need = F.ceil(F.col("n") * F.lit(float(threshold)) - F.lit(1e-9))
     ranked = materialise(ranked.withColumn("need", need).withColumn("sketch", F.col("rank") <= F.col("n") - need + 1), "items")
-    # partitions by size: powers of two of n; each has the largest hash that its sketches hold
-    parts = ranked.filter("sketch").groupBy(F.floor(F.log2("n")).alias("size_class")).agg(F.max("h").alias("top"), F.count(F.lit(1)).alias("rows")).collect()
+    # partitions by size: powers of two of n; each has its own sketches, and the largest hash that they hold
+    size_class = F.floor(F.log2("n")).cast("int")
+    sketches = ranked.filter("sketch").select("h", "item", size_class.alias("size_class"))
+    parts = sketches.groupBy("size_class").agg(F.max("h").alias("top"), F.count(F.lit(1)).alias("rows")).orderBy("size_class").collect()  # a row for each power of two
     if not parts:
         return docs.sparkSession.createDataFrame([], f"{id_col} bigint, {item_id_col} bigint, item_shingles bigint, matched bigint, containment double")
-    sketch_rows = sum(p["rows"] for p in parts)
+    # a hash is looked up in the partitions whose bound it keeps; where several have it, under the least of them
+    within = F.coalesce(*[F.when(F.col("h") <= p["top"], F.lit(k)) for k, p in enumerate(sorted(parts, key=lambda p: p["top"]))])
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), words_of(text_of(text_col)).alias("w")).filter("doc IS NOT NULL")
-    low = _shingled(rows, ["doc"]).select("doc", _hash().alias("h")).filter(F.col("h") <= max(p["top"] for p in parts))
-    sketches = ranked.filter("sketch").select("h", "item").distinct()
-    hits = low.join(_small(sketches, sketch_rows), "h").select("doc", "item").distinct()
+    low = _shingled(rows, ["doc"]).select("doc", _hash().alias("h")).withColumn("within", within).filter("within IS NOT NULL")
+    looked_up = sketches.select("h", "item").withColumn("within", within).distinct()
+    hits = low.join(_small(looked_up, _ROW_BYTES * sum(p["rows"] for p in parts)), ["within", "h"]).select("doc", "item").distinct()
     hits = materialise(hits, "candidates")
+    # verification: what each pair of a document and a candidate item could share, met with the document's whole shingles
+    asked = hits.join(ranked.select("item", "h", "shingle", "n", "need"), "item")
+    asked_size = asked.agg(F.coalesce(F.sum(F.octet_length("shingle") + 2 * _ROW_BYTES), F.lit(0)).alias("b")).first()["b"]
     wanted = hits.select("doc").distinct()
-    n_wanted, n_hits, n_items = wanted.count(), hits.count(), ranked.count()
-    # verification: whole shingles of the candidate documents against whole shingles of their candidate items
-    whole = rows.join(_small(wanted, n_wanted), "doc", "left_semi")
-    all_items = ranked.select("h", "shingle", "item", "n", "need")
-    found = _shingled(whole, ["doc"]).select("doc", _hash().alias("h"), _shingle().alias("shingle")).join(_small(all_items, n_items), ["h", "shingle"]).select("doc", "item", "n", "need", "shingle")
-    counted = found.distinct().groupBy("doc", "item", "n", "need").agg(F.count(F.lit(1)).alias("matched")).filter("matched >= need")
-    sure = counted.join(_small(hits, n_hits), ["doc", "item"], "left_semi")
+    whole = rows.join(_small(wanted, _ROW_BYTES * wanted.count()), "doc", "left_semi")
+    found = _shingled(whole, ["doc"]).select("doc", _hash().alias("h"), _shingle().alias("shingle"))
+    sure = found.join(_small(asked, asked_size), ["doc", "h", "shingle"]).select("doc", "item", "n", "need", "shingle").distinct()
+    sure = sure.groupBy("doc", "item", "n", "need").agg(F.count(F.lit(1)).alias("matched")).filter("matched >= need")
     return sure.select(F.col("doc").alias(id_col), F.col("item").alias(item_id_col), F.col("n").alias("item_shingles"), "matched", (F.col("matched") / F.col("n")).alias("containment"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs in which no item is contained, with their columns; rows with a null id stay."""
-    bad = materialise(find_contaminated(docs, items, id_col, text_col).select(F.col(id_col).alias("bad_id")).distinct(), "contaminated")
-    return docs.join(_small(bad, bad.count()), docs[id_col] == F.col("bad_id"), "left_anti")
+    """The rows of docs in which no item is contained, with their columns, whatever their names. All rows of a contaminated id go; rows with a null id stay."""
+    key = unused("bad_id", docs.columns)
+    bad = materialise(find_contaminated(docs, items, id_col, text_col).select(F.col(id_col).alias(key)).distinct(), "contaminated")
+    return docs.join(_small(bad, _ROW_BYTES * bad.count()), docs[id_col] == F.col(key), "left_anti")

@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, salt_bit, salt_of, salts_in, text_of
+from .common import materialise, salt_bit, salt_of, salts_in, text_of, unused
 from .components import connected_components
 
 DISTANCE, BLOCKS, SALTS, SHINGLE = 4, 8, 32, 4
+#: Rows of a cell that are compared pair by pair, if need be.
+SPLIT = 4096
 
 _BLANK = bytes(range(9, 14))
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _BLANK, b"abcdefghijklmnopqrstuvwxyz" + b" " * 5)
@@ -81,6 +83,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInPandas(work, T.StructType([T.StructField("id", T.LongType()), T.StructField("fp", T.LongType())]))
 
 
+def fingerprint_udf(size: int = SHINGLE):
+    """The fingerprint of a text as a column."""
+
+    def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64))
+
+    return F.pandas_udf(work, "bigint")
+
+
 def _near(f: np.ndarray, t: np.ndarray, i, j) -> np.ndarray:
     near = np.bitwise_count(t[i] ^ t[j]) <= DISTANCE
     near[near] = np.bitwise_count(f[i][near] ^ f[j][near]) <= DISTANCE if np.ndim(i) else np.bitwise_count(f[i] ^ f[j][near]) <= DISTANCE
@@ -90,8 +102,7 @@ def _near(f: np.ndarray, t: np.ndarray, i, j) -> np.ndarray:
 def cell_links(cell: np.ndarray, f: np.ndarray, wide: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """Links between fingerprints of one cell, enough to connect what is connected within it. Rows come sorted by cell.
 
-    Cells of up to `wide` rows are compared by lags over the whole batch; larger ones by a breadth-first search that
-    compares each row with those not reached yet, so a dense cell costs little more than its rows and gives a tree.
+    Cells of up to `wide` rows are compared by lags over the whole batch; larger ones by `_large_cell`.
     """
     t = image(f)
     starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.empty(0, np.int64)
@@ -108,22 +119,53 @@ def cell_links(cell: np.ndarray, f: np.ndarray, wide: int = 12) -> tuple[np.ndar
         left.append(f[i])
         right.append(f[i + lag])
     for s, n in zip(starts[sizes > wide], sizes[sizes > wide], strict=True):
-        rest = np.arange(s, s + n)
-        while len(rest):
-            queue, rest = [rest[0]], rest[1:]
-            while queue and len(rest):
-                i = queue.pop()
-                hit = _near(f, t, i, rest)
-                found = rest[hit]
-                if len(found):
-                    left.append(np.repeat(f[i], len(found)))
-                    right.append(f[found])
-                    queue.extend(found.tolist())
-                    rest = rest[~hit]
+        for x, y in _large_cell(f[s : s + n]):
+            left.append(x)
+            right.append(y)
     none = np.empty(0, np.uint64)
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
+def _large_cell(f: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A breadth-first search compares each row with those not reached yet, so a dense cell costs little more than its rows and gives a tree.
+
+    Where little links, that would compare all pairs. Beyond a budget of comparisons the rows that are left are dealt out
+    again, by finer blocks: see `_finer`.
+    """
+    t, rest = image(f), np.arange(len(f))
+    budget = max(SPLIT * SPLIT, 64 * len(f))
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            if budget < 0 and len(rest) > SPLIT:
+                yield from _finer(f[np.concatenate((queue, rest))])  # rows taken from the queue have met all others
+                return
+            i = queue.pop()
+            budget -= len(rest)
+            hit = _near(f, t, i, rest)
+            found = rest[hit]
+            if len(found):
+                yield np.repeat(f[i], len(found)), f[found]
+                queue.extend(found.tolist())
+                rest = rest[~hit]
+
+
+def _finer(f: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The bits of the images that still vary, in eight blocks: within distance 4 some four of them agree. Where the images don't vary any more, the bits of the fingerprints."""
+    for x in (image(f), f):
+        varying = int(np.bitwise_or.reduce(x) ^ np.bitwise_and.reduce(x))
+        bits = [b for b in range(64) if varying >> b & 1]
+        if len(bits) > DISTANCE:
+            break
+    else:
+        raise AssertionError("distinct fingerprints with four varying bits are sixteen at most")
+    parts = [sum(1 << b for b in bits[k::BLOCKS]) for k in range(min(BLOCKS, len(bits)))]
+    for chosen in combinations(parts, len(parts) - DISTANCE):
+        key = x & np.uint64(sum(chosen))
+        order = np.argsort(key, kind="stable")
+        yield cell_links(key[order], f[order])
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The links that join two parts not joined before."""
     parent: dict[int, int] = {}
@@ -196,6 +238,19 @@ def link_fingerprints(distinct: DataFrame, flush: int = 2_000_000) -> DataFrame:
     return dealt.mapInPandas(compare, pair("a", "b"))
 
 
+def _components(docs: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, fp) of each row as a written table; (fp, root, component_id, mask of the salts of its ids) of each fingerprint; the first with its salts."""
+    prints = materialise(fingerprints(docs, id_col, text_col, size), "fingerprints")
+    salted = prints.withColumn("salt", salt_of(F.col("id"), SALTS))
+    nodes = materialise(salted.groupBy("fp").agg(F.min("id").alias("least"), F.bit_or(salt_bit(F.col("salt"))).alias("mask")), "nodes")
+    roots = materialise(connected_components(link_fingerprints(nodes)), "roots")
+    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "mask", F.coalesce("root", "fp").alias("root"), salt_of(F.col("fp"), SALTS).alias("part"))
+    # a component of many fingerprints meets its name in as many parts as it has salts
+    names = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.bit_or(salt_bit(F.col("part"))).alias("parts"))
+    names = names.select("root", "component_id", F.explode(salts_in(F.col("parts"), SALTS)).alias("part"))
+    return prints, placed.join(names, ["root", "part"]).select("fp", "root", "component_id", "mask"), salted
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hex digits), component_id (the smallest id reachable over links of 4 bits or fewer).
 
@@ -203,19 +258,35 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows; equal texts link at distance 0. A null id never names a component unless it is alone in it, which then is null.
     An empty table gives an empty result; other columns are not read.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    salted = prints.withColumn("salt", salt_of(F.col("id"), SALTS))
-    nodes = salted.groupBy("fp").agg(F.min("id").alias("least"), F.bit_or(salt_bit(F.col("salt"))).alias("mask"))
-    nodes = materialise(nodes, "nodes")
-    roots = materialise(connected_components(link_fingerprints(nodes)), "roots")
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "mask", F.coalesce("root", "fp").alias("root"))
-    names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = placed.join(names, "root").select("fp", "component_id", F.explode(salts_in(F.col("mask"), SALTS)).alias("salt"))
+    _, labels, salted = _components(docs, id_col, text_col, size)
+    labels = labels.select("fp", "component_id", F.explode(salts_in(F.col("mask"), SALTS)).alias("salt"))
     return salted.join(labels, ["fp", "salt"]).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id names their component, with the columns of docs: one document of each group stays. Rows without an id stay."""
-    found = near_components(docs, id_col, text_col).filter(F.col(id_col) == F.col("component_id"))
-    kept = docs.join(found.select(F.col(id_col).alias("kept_id")).distinct(), docs[id_col] == F.col("kept_id"), "left_semi")
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """The rows whose id names their component, with the columns of docs, whatever their names: one row of each component stays.
+
+    Of rows that share the id which names their component one stays, the choice among them being free. A component of
+    rows without ids keeps one as well; beside rows with ids they go. Null texts are empty and near each other. An empty
+    table gives an empty result.
+    """
+    prints, labels, _ = _components(docs, id_col, text_col, size)
+    known = "id IS NOT DISTINCT FROM component_id"
+    winners = materialise(prints.distinct().join(labels.select("fp", "component_id"), "fp").filter(known).select("id", "fp"), "winners")
+    # ids that stand for one row keep that row; for others, and for rows without one, the fingerprint tells which rows are meant
+    often = prints.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR id IS NULL").select("id")
+    often = materialise(often, "repeated")
+    columns = docs.columns
+    key = unused("id", columns)
+    rows = docs.withColumn(key, F.col(id_col).cast("bigint"))
+    single = winners.join(often, "id", "left_anti").filter("id IS NOT NULL").select(F.col("id").alias(key))
+    kept = rows.join(single, key, "left_semi").select(*columns)
+    if not often.limit(1).count():
+        return kept
+    packed = docs.select(F.struct(*columns).alias("row"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    few = packed.join(often.withColumnRenamed("id", "again"), F.col("id").eqNullSafe(F.col("again")), "left_semi")
+    few = few.select("row", "id", fingerprint_udf(size)(text_of("text")).alias("fp"))
+    one = few.groupBy("id", "fp").agg(F.first("row").alias("row"))
+    named = one.join(winners.select(F.col("id").alias("winner"), F.col("fp").alias("print")), F.col("id").eqNullSafe(F.col("winner")) & (F.col("fp") == F.col("print")), "left_semi")
+    named = named.join(labels.select(F.col("fp").alias("print"), "root"), F.col("fp") == F.col("print"))
+    return kept.unionByName(named.groupBy("root").agg(F.first("row").alias("row")).select("row.*"))
