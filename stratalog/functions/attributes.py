@@ -20,15 +20,17 @@ def kind(v: Column) -> Column:
 
 
 def as_integer(v: Column) -> Column:
-    """The exact value of an integer, or of a whole double in [-2^63, 2^64); null for all else."""
-    k, d = kind(v), F.try_variant_get(v, "$", "double")
+    """The exact value of an integer of 64 bits, signed or not, or of a whole double in [-2^63, 2^64); null for all else. Longer integers count as the doubles next to them."""
+    k, d, wide = kind(v), F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", _WIDE)
     half = F.lit(2.0**63)
-    whole = d % 1 == 0
+    decimal = k.rlike(r"^DECIMAL\(\d+,0\)$")
+    exact = decimal & wide.between(F.lit(str(-(1 << 63))).cast(_WIDE), F.lit(str((1 << 64) - 1)).cast(_WIDE))
+    whole = ((k == "DOUBLE") | decimal) & (d % 1 == 0)
     return (
         F.when(k == "BIGINT", F.try_variant_get(v, "$", "bigint").cast(_WIDE))
-        .when(k.rlike(r"^DECIMAL\(\d+,0\)$"), F.try_variant_get(v, "$", _WIDE))
-        .when((k == "DOUBLE") & whole & (d >= -half) & (d < half), F.when((d >= -half) & (d < half), d).cast("bigint").cast(_WIDE))
-        .when((k == "DOUBLE") & whole & (d >= half) & (d < F.lit(2.0**64)), F.when((d >= half) & (d < F.lit(2.0**64)), d - half).cast("bigint").cast(_WIDE) + F.lit(str(1 << 63)).cast(_WIDE))
+        .when(exact, wide)
+        .when(whole & (d >= -half) & (d < half), F.when((d >= -half) & (d < half), d).cast("bigint").cast(_WIDE))
+        .when(whole & (d >= half) & (d < F.lit(2.0**64)), F.when((d >= half) & (d < F.lit(2.0**64)), d - half).cast("bigint").cast(_WIDE) + F.lit(str(1 << 63)).cast(_WIDE))
     )
 
 
