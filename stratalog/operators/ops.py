@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -111,6 +112,21 @@ def tail_page(events: DataFrame, query: LogQuery, resume: int, limit: int | None
     return rows.withColumn("bytes_", total).filter(F.col("bytes_") <= max_bytes).drop("bytes_")
 
 
+def first_expired(events: DataFrame, before: int, most: int) -> DataFrame:
+    """Ids of at most so many events older than `before`, the smallest first: a TakeOrdered."""
+    return events.filter(F.col("event_time") < long(before)).select("id").orderBy("id").limit(most)
+
+
+def oldest_batch(events: DataFrame, rows: int) -> DataFrame:
+    """(last): the latest time among the so many oldest events; null without events."""
+    return events.select("event_time", "id").orderBy("event_time", "id").limit(rows).agg(F.max("event_time").alias("last"))
+
+
+def estimated_bytes(events: DataFrame, fixed: int = 128) -> DataFrame:
+    """(bytes): what events would take in an export, roughly: their texts, and so many bytes a row for the rest."""
+    return events.agg(F.sum(F.octet_length("message") + F.octet_length("attributes") + F.octet_length("source") + fixed).alias("bytes"))
+
+
 def projection_status(stored: DataFrame, tier: str = "tier") -> DataFrame:
     """Rows and covered rows of hot and archived data."""
     return stored.groupBy(tier).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.coalesce(F.col("pa_covered"), F.lit(False))).alias("covered"))
@@ -123,6 +139,36 @@ def counter_rate(samples: DataFrame, key: str, time: str, value: str) -> DataFra
     return samples.withColumn("rate", F.when((dv >= 0) & (dt > 0), dv * 1000.0 / dt))
 
 
+#: Relative error of the latency sketch, and the least value that it tells apart, in milliseconds.
+SKETCH_ERROR, SKETCH_LEAST = 0.02, 0.002
+
+
+def latency_sketch(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, bucket, count): values counted in buckets whose bounds grow by the relative error, so sketches add up by bucket. Values up to the least share bucket 0; nulls and NaN count nowhere."""
+    v = F.col(value).cast("double")
+    bucket = F.when(v <= SKETCH_LEAST, 0).otherwise(F.ceil(F.log(v / SKETCH_LEAST) / math.log1p(SKETCH_ERROR) - 1e-9)).cast("int")
+    return rows.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*by, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("count"))
+
+
+def sketch_quantile(sketch: DataFrame, q: float, by: list[str]) -> DataFrame:
+    """(by, bound): an upper bound of the quantile, at most the error above it."""
+    w = Window.partitionBy(*by).orderBy("bucket")
+    total = F.sum("count").over(Window.partitionBy(*by))
+    reached = sketch.withColumn("below", F.sum("count").over(w)).withColumn("need", F.greatest(F.ceil(total * q - 1e-9), F.lit(1)))
+    return reached.filter("below >= need").groupBy(*by).agg((F.lit(SKETCH_LEAST) * F.pow(F.lit(1 + SKETCH_ERROR), F.min("bucket"))).alias("bound"))
+
+
+def highlighted(events: DataFrame, needle: str, column: str = "message") -> DataFrame:
+    """With column parts: the text parted at each plain occurrence of the needle, as (text, hit) in order; the parts give the text back. An empty needle hits nothing."""
+    if not needle:
+        parts = F.array(F.struct(F.col(column).alias("text"), F.lit(False).alias("hit")))
+    else:
+        between = F.split(F.col(column), "\\Q" + needle.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
+        pair = lambda x, i: F.when(i == 0, F.array(F.struct(x.alias("text"), F.lit(False).alias("hit")))).otherwise(F.array(F.struct(F.lit(needle).alias("text"), F.lit(True).alias("hit")), F.struct(x.alias("text"), F.lit(False).alias("hit"))))
+        parts = F.filter(F.flatten(F.transform(between, pair)), lambda p: p["text"] != "")
+    return events.withColumn("parts", parts)
+
+
 def cumulative_buckets(rows: DataFrame, value: str, bounds: list[float], by: list[str]) -> DataFrame:
     """Per group and bound the rows at or below it, in one aggregate."""
     counts = F.array(*[F.struct(F.lit(float(b)).alias("bound"), F.count_if(F.col(value) <= b).alias("count")) for b in bounds])

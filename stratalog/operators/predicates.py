@@ -31,6 +31,13 @@ def attribute_conditions(query: LogQuery, promoted: tuple[str, ...] = ()) -> Col
     return hit
 
 
+def may_hold(query: LogQuery) -> list[Column]:
+    """Cheap tests on the JSON's text that whatever matches passes: a key stands there between quotation marks, unless the text has escapes."""
+    a = F.col("attributes")
+    plain = [c.key for c in query.attributes if all(ch >= " " and ch not in '"\\' for ch in c.key)]
+    return [F.contains(a, F.lit(f'"{k}"')) | F.contains(a, F.lit("\\")) for k in plain]
+
+
 def selection(query: LogQuery, high: int | None = None, promoted: tuple[str, ...] = ()) -> Column:
     where = in_range(query.start, query.end)
     if high is not None:
@@ -44,6 +51,8 @@ def selection(query: LogQuery, high: int | None = None, promoted: tuple[str, ...
         where &= F.col("level") >= F.lit(query.min_level)
     if query.message is not None:
         where &= F.contains(F.col("message"), F.lit(query.message))
+    for cheap in may_hold(query):  # before the JSON is parsed
+        where &= cheap
     if (attrs := attribute_conditions(query, promoted)) is not None:
         where &= attrs
     return where

@@ -1,8 +1,9 @@
 """Indexes on a file system: immutable Parquet files named by versioned manifests.
 
-A manifest is one JSON file; writing the next version with create-if-absent is the commit, so readers see a whole version
+A manifest is one JSON file; putting the next version where none is yet is the commit, so readers see a whole version
 or the one before, and directories are never listed to find data. Files go only after no manifest of the last `KEEP`
-versions names them. One writer at a time; a second one loses the race for the version and fails.
+versions names them. One writer at a time; a second one loses the race for the version and fails. That needs a store that
+can refuse to replace a file; on others an index has to be opened as that of a single writer.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ import json
 import re
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,10 @@ from stratalog.schema import COLUMNS, EVENT, MAX_PROMOTED, stored_schema
 PARTITION_MS, KEEP, VERSION = 3_600_000, 2, 4
 #: A compaction merges up to so many files and bytes of one partition.
 COMPACT_FILES, COMPACT_BYTES = 16, 128 << 20
+#: Rows of an archived file, rows that one export moves, and rows of a batch that is expired for size.
+FILE_ROWS, EXPORT_ROWS, SHRINK_ROWS = 5_000_000, 50_000_000, 1_000_000
+#: Stores whose rename never replaces a file, beside the local one.
+EXCLUSIVE = frozenset({"hdfs", "viewfs", "abfs", "abfss"})
 
 
 class Conflict(RuntimeError):
@@ -68,16 +75,38 @@ class Files:
         finally:
             stream.close()
 
-    def create(self, name: str, text: str) -> None:
-        tmp = self._path(f"tmp/{uuid.uuid4().hex}")
+    def create(self, name: str, text: str, single_writer: bool = False) -> None:
+        """A new file, whole at once; Conflict if there is one already. Locally by a hard link, elsewhere by a rename that doesn't replace."""
+        scheme = self.fs.getUri().getScheme()
+        if scheme != "file" and scheme not in EXCLUSIVE and not single_writer:
+            raise QueryError(f"{scheme} may replace a file that another writer has just made: open the index with single_writer=True if there is no other")
+        tmp, to = self._path(f"tmp/{uuid.uuid4().hex}"), self._path(name)
         out = self.fs.create(tmp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        to = self._path(name)
         self.fs.mkdirs(to.getParent())
-        if self.fs.exists(to) or not self.fs.rename(tmp, to):
-            self.fs.delete(tmp, False)
-            raise Conflict(name)
+        try:
+            if scheme == "file":
+                local = lambda p: self.jvm.java.nio.file.Paths.get(self.fs.makeQualified(p).toUri())
+                self.jvm.java.nio.file.Files.createLink(local(to), local(tmp))
+            elif self.fs.exists(to) or not self.fs.rename(tmp, to):
+                raise Conflict(name)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise Conflict(name) from e
+            raise
+        finally:
+            if self.fs.exists(tmp):
+                self.fs.delete(tmp, False)
+
+    def put(self, name: str, text: str) -> None:
+        """A file that replaces the one before."""
+        out = self.fs.create(self._path(name), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def make(self, folder: str) -> None:
+        self.fs.mkdirs(self._path(folder))
 
     def exists(self, name: str) -> bool:
         return self.fs.exists(self._path(name))
@@ -105,6 +134,7 @@ class Part:
     min_id: int
     max_id: int
     bytes: int
+    sha256: str | None = None
 
 
 @dataclass(frozen=True)
@@ -131,8 +161,8 @@ class Manifest:
 
 
 class Index:
-    def __init__(self, spark: SparkSession, root: str, partition_ms: int = PARTITION_MS):
-        self.spark, self.files, self.partition_ms = spark, Files(spark, root), partition_ms
+    def __init__(self, spark: SparkSession, root: str, partition_ms: int = PARTITION_MS, single_writer: bool = False):
+        self.spark, self.files, self.partition_ms, self.single_writer = spark, Files(spark, root), partition_ms, single_writer
 
     # manifests
 
@@ -142,7 +172,7 @@ class Index:
 
     def _commit(self, m: Manifest) -> Manifest:
         m = replace(m, version=m.version + 1)
-        self.files.create(f"manifest/{m.version:012d}.json", m.text())
+        self.files.create(f"manifest/{m.version:012d}.json", m.text(), self.single_writer)
         return m
 
     # reads
@@ -187,24 +217,38 @@ class Index:
 
     # writes
 
-    def _stats(self, folder: str) -> tuple[Part, ...]:
-        """Bounds of each file that a write has left: one aggregate, a row a file."""
+    def _stats(self, folder: str, digests: bool = False) -> tuple[Part, ...]:
+        """Bounds of each file that a write has left: one aggregate, a row a file. With the files' digests, if asked."""
         rows = self.spark.read.schema(EVENT).parquet(self.files.uri(folder)).groupBy(F.col("_metadata.file_path").alias("f"))
         got = rows.agg(F.count(F.lit(1)).alias("rows"), *[g(c).alias(f"{n}_{k}") for n, g in (("min", F.min), ("max", F.max)) for c, k in (("event_time", "time"), ("id", "id"))]).collect()
-        out = []
-        for r in got:
-            name = folder + "/" + r["f"].rpartition(f"{folder}/")[2]
-            out.append(Part(name, r["rows"], r["min_time"], r["max_time"], r["min_id"], r["max_id"], self.files.size(name)))
-        return tuple(sorted(out, key=lambda p: p.path))
-
-    def append(self, batch: DataFrame, source: str, received_at: int | None = None) -> int:
-        """Add normalised events in their order of `position`; ids are contiguous from the manifest's next. The number of rows."""
+        names = [folder + "/" + r["f"].rpartition(f"{folder}/")[2] for r in got]
+        sums = self._digests(names) if digests else {}
+        parts = (Part(n, r["rows"], r["min_time"], r["max_time"], r["min_id"], r["max_id"], self.files.size(n), sums.get(n)) for n, r in zip(names, got, strict=True))
+        return tuple(sorted(parts, key=lambda p: p.path))
+
+    def _digests(self, names: list[str]) -> dict[str, str]:
+        """SHA-256 of files by name, computed where the files are; a row a file comes back."""
+        if not names:
+            return {}
+        files = self.spark.read.format("binaryFile").load([self.files.uri(n) for n in names])
+        found = {r["path"]: r["sha256"] for r in files.select("path", F.sha2("content", 256).alias("sha256")).collect()}
+        return {n: next(d for p, d in found.items() if p.endswith("/" + n)) for n in names}
+
+    def append(self, batch: DataFrame, source: str | None, received_at: int | None = None) -> int:
+        """Add normalised events in their order of `position`; ids are contiguous from the manifest's next. The number of rows.
+
+        source None takes that of the events' own column. Events older than what retention has removed since they were
+        checked reject the batch.
+        """
         m = self.manifest()
         staged = f"tmp/{uuid.uuid4().hex}"
         ordered = batch.orderBy("position") if "position" in batch.columns else batch
         ordered.drop("position").withColumn("at_", F.monotonically_increasing_id()).write.parquet(self.files.uri(staged))
         rows = self.spark.read.parquet(self.files.uri(staged))
         per = sorted((r["p"], r["n"]) for r in rows.groupBy(F.shiftright("at_", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row a partition
+        if m.before_time is not None and (oldest := rows.agg(F.min("event_time")).first()[0]) is not None and oldest < m.before_time:
+            self.files.delete(staged)
+            raise QueryError(f"an event of {oldest} is older than the retention cutoff {m.before_time}")
         total, offsets = m.next_id, []
         for p, n in per:
             offsets.append((p, total))
@@ -215,7 +259,7 @@ class Index:
         base = F.broadcast(self.spark.createDataFrame(offsets, "p long, base long"))
         now = int(time.time() * 1000) if received_at is None else received_at
         ids = rows.withColumn("p", F.shiftright("at_", 33)).join(base, "p").withColumn("id", F.col("base") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)))
-        full = ids.withColumns({"source": F.lit(source), "received_at": long(now)}).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENT.fields])
+        full = ids.withColumns({"source": F.col("source") if source is None else F.lit(source), "received_at": long(now)}).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENT.fields])
         if m.promoted:
             full = full.withColumns(promoted_columns(m.promoted))
         folder = f"log/{m.version + 1:012d}-{uuid.uuid4().hex}"
@@ -227,45 +271,84 @@ class Index:
         self.files.delete(staged)
         return total - m.next_id
 
+    def append_in_batches(self, events: DataFrame, source: str, batch_rows: int = EXPORT_ROWS, received_at: int | None = None) -> int:
+        """History of any length, committed batch by batch in the order of `position`: what was committed stays if a later batch fails."""
+        done, last = 0, None
+        while True:
+            rest = events if last is None else events.filter(F.col("position") > long(last))
+            end = rest.select("position").orderBy("position").limit(batch_rows).agg(F.max("position")).first()[0]
+            if end is None:
+                return done
+            done += self.append(rest.filter(F.col("position") <= long(end)), source, received_at)
+            last = end
+
     def _write_archive(self, rows: DataFrame) -> tuple[Part, ...]:
+        """Files of one partition of time each, sorted. Rows are dealt by ranges of time and id, so a busy hour goes to many tasks and files."""
         folder = f"archive/{uuid.uuid4().hex}"
         start = F.col("event_time") - F.pmod(F.col("event_time"), long(self.partition_ms))
-        dealt = rows.withColumn("part", start).repartition("part").sortWithinPartitions("part", "event_time", "id")
-        dealt.write.partitionBy("part").option("compression", "zstd").parquet(self.files.uri(folder))
+        dealt = rows.withColumn("part", start).repartitionByRange("part", "event_time", "id").sortWithinPartitions("part", "event_time", "id")
+        dealt.write.partitionBy("part").option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS).parquet(self.files.uri(folder))
+        return self._stats(folder, digests=True)
+
+    def archive(self, before: int, most: int = EXPORT_ROWS) -> int:
+        """Move hot rows older than `before` into files of one partition of time each, sorted; hot files that straddle are rewritten.
+
+        The oldest files go first, and about `most` rows at a time are moved and committed. The number of rows.
+        """
+        done = 0
+        while True:
+            m = self.manifest()
+            touched: list[Part] = []
+            for p in sorted((p for p in m.hot if p.min_time < before), key=lambda p: (p.min_time, p.path)):
+                if touched and sum(x.rows for x in touched) + p.rows > most:
+                    break
+                touched.append(p)
+            if not touched:
+                return done
+            rows = self._scan(m, tuple(touched))
+            old = self._write_archive(rows.filter(F.col("event_time") < long(before)))
+            rest = self._write_hot(rows.filter(F.col("event_time") >= long(before))) if any(p.max_time >= before for p in touched) else ()
+            if sum(p.rows for p in (*old, *rest)) != sum(p.rows for p in touched):
+                raise Conflict("archived rows don't match hot rows")
+            self._commit(replace(m, hot=(*[p for p in m.hot if p not in touched], *rest), archives=(*m.archives, *old)))
+            done += sum(p.rows for p in old)
+
+    def _write_hot(self, rows: DataFrame) -> tuple[Part, ...]:
+        folder = f"hot/{uuid.uuid4().hex}"
+        rows.write.option("compression", "zstd").parquet(self.files.uri(folder))
         return self._stats(folder)
 
-    def archive(self, before: int) -> int:
-        """Move hot rows older than `before` into files of one partition of time each, sorted; hot files that straddle are rewritten."""
+    def delete_hot(self, before: int, most: int) -> int:
+        """Delete up to `most` hot rows older than `before`, the smallest ids first, from the files that hold them. The number of rows."""
         m = self.manifest()
-        touched = tuple(p for p in m.hot if p.min_time < before)
-        if not touched:
+        old = tuple(p for p in m.hot if p.min_time < before)
+        gone = ops.first_expired(self._scan(m, old), before, most).agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).first()
+        if not gone["n"]:
             return 0
-        rows = self._scan(m, touched)
-        old = self._write_archive(rows.filter(F.col("event_time") < long(before)))
-        rest: tuple[Part, ...] = ()
-        if any(p.max_time >= before for p in touched):
-            folder = f"hot/{uuid.uuid4().hex}"
-            rows.filter(F.col("event_time") >= long(before)).write.option("compression", "zstd").parquet(self.files.uri(folder))
-            rest = self._stats(folder)
-        if sum(p.rows for p in (*old, *rest)) != sum(p.rows for p in touched):
-            raise Conflict("archived rows don't match hot rows")
-        self._commit(replace(m, hot=(*[p for p in m.hot if p not in touched], *rest), archives=(*m.archives, *old)))
-        return sum(p.rows for p in old)
+        touched = tuple(p for p in old if p.min_id <= gone["last"])
+        rest = self._write_hot(self._scan(m, touched).filter(~((F.col("event_time") < long(before)) & (F.col("id") <= long(gone["last"])))))
+        if sum(p.rows for p in touched) - sum(p.rows for p in rest) != gone["n"]:
+            raise Conflict("deleted rows don't match")
+        self._commit(replace(m, expired_through=max(m.expired_through, gone["last"]), hot=(*[p for p in m.hot if p not in touched], *rest)))
+        return gone["n"]
 
     def compaction_plan(self, m: Manifest) -> tuple[Part, ...]:
         """Small files of the oldest partition that has two or more, smallest first within the bounds."""
+        return next((c for _, c in self.compaction_plans(m, COMPACT_FILES, COMPACT_BYTES)), ())
+
+    def compaction_plans(self, m: Manifest, files: int = COMPACT_FILES, size: int = COMPACT_BYTES) -> Iterator[tuple[int, tuple[Part, ...]]]:
+        """(start of a partition, the files that a compaction of it merges), oldest first."""
         by: dict[int, list[Part]] = {}
         for p in m.archives:
             by.setdefault(p.min_time // self.partition_ms, []).append(p)
-        for _, parts in sorted(by.items()):
+        for k, parts in sorted(by.items()):
             chosen, total = [], 0
             for p in sorted(parts, key=lambda p: (p.bytes, p.path)):
-                if len(chosen) < COMPACT_FILES and total + p.bytes <= COMPACT_BYTES:
+                if len(chosen) < files and total + p.bytes <= size:
                     chosen.append(p)
                     total += p.bytes
             if len(chosen) > 1:
-                return tuple(chosen)
-        return ()
+                yield k * self.partition_ms, tuple(chosen)
 
     def compact(self) -> int:
         m = self.manifest()
@@ -295,13 +378,21 @@ class Index:
         self._commit(replace(m, before_time=before, expired_through=max(m.expired_through, r["last"]), hot=keep(m.hot), archives=keep(m.archives)))
         return r["n"]
 
-    def enforce_size(self, target: int, rounds: int = 32) -> int:
-        """Expire the oldest files, archives first, until the data fits or the rounds are over. The number of files."""
-        m, gone = self.manifest(), 0
+    def enforce_size(self, target: int, rounds: int = 32, batch: int = SHRINK_ROWS) -> int:
+        """Expire the oldest data until the rest fits or the rounds are over: archived files first, then batches of the oldest hot rows. The number of rounds."""
+        gone = 0
+        m = self.manifest()
         while gone < rounds and sum(p.bytes for p in (*m.hot, *m.archives)) > target and (m.archives or m.hot):
-            oldest = min(m.archives or m.hot, key=lambda p: (p.min_time, p.max_time, p.path))
-            keep = lambda ps: tuple(p for p in ps if p != oldest)  # noqa: B023, E731
-            m = self._commit(replace(m, expired_through=max(m.expired_through, oldest.max_id), hot=keep(m.hot), archives=keep(m.archives)))
+            if m.archives:
+                oldest = min(m.archives, key=lambda p: (p.min_time, p.max_time, p.path))
+                m = self._commit(replace(m, expired_through=max(m.expired_through, oldest.max_id), archives=tuple(p for p in m.archives if p != oldest)))
+            else:
+                last = ops.oldest_batch(self.read(m=m), batch).first()["last"]
+                if last is None:
+                    m = self._commit(replace(m, hot=()))
+                else:
+                    self.retain(last + 1)
+                    m = self.manifest()
             gone += 1
         return gone
 
@@ -329,12 +420,21 @@ class Index:
             self.files.delete(f"manifest/{n}")
         return len(dead)
 
-    def recover(self) -> int:
-        """At open: all files that the manifest names are there, whole; what no manifest names goes."""
+    def verify(self) -> int:
+        """All files that the manifest names are there and whole: their sizes, and for archives their digests, are those that were committed. The number of files."""
         m = self.manifest()
         for p in (*m.hot, *m.archives):
             if not self.files.exists(p.path) or self.files.size(p.path) != p.bytes:
                 raise Conflict(f"{p.path} is missing or damaged")
+        found = self._digests([p.path for p in m.archives if p.sha256])
+        for p in m.archives:
+            if p.sha256 and found[p.path] != p.sha256:
+                raise Conflict(f"{p.path} isn't what was committed")
+        return len(m.hot) + len(m.archives)
+
+    def recover(self) -> int:
+        """At open: the data is verified; what no manifest names goes."""
+        self.verify()
         return self.vacuum()
 
     def digests(self) -> DataFrame:

@@ -71,9 +71,16 @@ def number(token: str) -> int | Float:
     return Float(x)
 
 
+def _octets(text: str) -> int:
+    try:
+        return len(text.encode())
+    except UnicodeEncodeError as e:
+        raise QueryError("filter: a lone surrogate is no text") from e
+
+
 def parse_filter(document: str) -> tuple[Condition, ...]:
     """{"attributes": [{"key", "op": "eq", "value"}]} -> conditions sorted by key, equal repeats merged."""
-    if len(document.encode()) > MAX_DOCUMENT:
+    if _octets(document) > MAX_DOCUMENT:
         raise QueryError(f"filter exceeds {MAX_DOCUMENT} bytes")
 
     def members(pairs):
@@ -100,13 +107,13 @@ def parse_filter(document: str) -> tuple[Condition, ...]:
             raise QueryError(f"{at}: key, op and value")
         if c["op"] != "eq":
             raise QueryError(f"{at}.op: only eq")
-        if not isinstance(c["key"], str) or isinstance(c["key"], _Number) or not 1 <= len(c["key"].encode()) <= MAX_KEY:
+        if not isinstance(c["key"], str) or isinstance(c["key"], _Number) or not 1 <= _octets(c["key"]) <= MAX_KEY:
             raise QueryError(f"{at}.key: a string of 1 to {MAX_KEY} bytes")
         v = c["value"]
         if isinstance(v, _Number):
             v = number(v)
         elif isinstance(v, str):
-            if len(v.encode()) > MAX_STRING:
+            if _octets(v) > MAX_STRING:
                 raise QueryError(f"{at}.value: more than {MAX_STRING} bytes")
         elif not isinstance(v, bool):
             raise QueryError(f"{at}.value: a string, boolean or number")
@@ -161,6 +168,16 @@ class LogQuery:
         return self if cutoff is None else replace(self, start=max(self.start, cutoff))
 
 
+def whole_number(params: dict, name: str, default: int | None = None) -> int | None:
+    """A parameter that is an integer or its digits."""
+    value = params.get(name, default)
+    if value is None or type(value) is int:
+        return value
+    if not isinstance(value, str) or not re.fullmatch(r"-?[0-9]{1,19}", value):
+        raise QueryError(f"{name} is no integer")
+    return int(value)
+
+
 _PARAMETERS = {"from", "to", "source", "service", "logger", "host", "message", "min_level", "filter", "limit", "cursor", "interval"}
 
 
@@ -170,15 +187,15 @@ def request(params: dict, *, scope: Iterable[str] | None = None, index: str = "d
         raise QueryError(f"unknown parameter {min(unknown)}")
     if indexes is not None and (allowed := set(indexes)) and index not in allowed:
         raise Forbidden(f"index {index}")
-    if "from" not in params or "to" not in params:
+    start, end = whole_number(params, "from"), whole_number(params, "to")
+    if start is None or end is None:
         raise QueryError("from and to are required")
-    start, end = int(params["from"]), int(params["to"])
     if not 0 <= start < end <= MAX_TIME:
         raise QueryError("0 <= from < to <= 253402300799999")
     if end - start > MAX_SPAN:
         raise QueryError("the range exceeds 31 days")
-    limit = int(params.get("limit", 100))
-    if not 1 <= limit <= MAX_LIMIT:
+    limit = whole_number(params, "limit", 100)
+    if limit is None or not 1 <= limit <= MAX_LIMIT:
         raise QueryError(f"limit is 1 to {MAX_LIMIT}")
     sources = params.get("source") or ()
     sources = (sources,) if isinstance(sources, str) else tuple(sources)
@@ -189,11 +206,11 @@ def request(params: dict, *, scope: Iterable[str] | None = None, index: str = "d
         if outside := set(sources) - set(mine):
             raise Forbidden(f"source {min(outside)}")
         sources = sources or mine
-    level = params.get("min_level")
-    if level is not None and int(level) < 0:
+    level = whole_number(params, "min_level")
+    if level is not None and not 0 <= level < 1 << 31:
         raise QueryError("min_level is nonnegative")
     return LogQuery(
-        start, end, sources, params.get("service"), params.get("logger"), params.get("host"), params.get("message"), None if level is None else int(level),
+        start, end, sources, params.get("service"), params.get("logger"), params.get("host"), params.get("message"), level,
         parse_filter(params["filter"]) if params.get("filter") else (), limit, ("legacy", "default") if index == "default" else ("named", index),
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,8 +11,11 @@ from pyspark.sql import functions as F
 from stratalog.functions.attributes import as_integer, coverage_holds, parsed, promoted_columns
 from stratalog.operators import ops
 from stratalog.operators.predicates import long
+from stratalog.operators.store import Index, Manifest, Part
 from stratalog.plans.cursor import Position
 from stratalog.plans.query import LogQuery, nice_interval, parse_filter
+from stratalog.schema import FACETS
+from stratalog.shared import shared_dir
 from stratalog.sources.adapters import CONVERSATIONS_SQL, EVENTS_SQL, conversations, events
 
 #: The events begin on 2024-01-01; ranges of the queries below.
@@ -20,6 +24,24 @@ WIDE = LogQuery(T0 - 365 * DAY, T0 + 730 * DAY)
 FIRST = {"start": T0, "end": T0 + 20 * DAY}
 _RANGE = f"event_time >= {T0} AND event_time < {T0 + 20 * DAY}"
 
+#: The events as an index gives them numbers: in the order of their ids, from 1.
+_STORED = f"{EVENTS_SQL}, s AS (SELECT * REPLACE (row_number() OVER (ORDER BY id) AS id) FROM e)"
+
+
+def _stored(spark: SparkSession, d: str) -> Index:
+    """A new index in the shared folder that holds all events, appended in two batches."""
+    index = Index(spark, f"{shared_dir(spark)}/stratalog-index-{uuid.uuid4().hex}")
+    e = events(spark, d).withColumn("position", F.col("id"))
+    middle = e.agg(((F.min("id") + F.max("id")) / 2).cast("bigint")).first()[0]
+    for part in (e.filter(F.col("id") <= long(middle)), e.filter(F.col("id") > long(middle))):
+        index.append(part, None, received_at=T0)
+    return index
+
+
+def _row(spark: SparkSession, schema: str, *values) -> DataFrame:
+    return spark.createDataFrame([values], schema)
+
+
 _found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
 
@@ -55,9 +77,9 @@ def count_message_contains(spark, d):
     return e.filter(F.contains("message", F.lit("100%")) | F.contains("message", F.lit("en"))).agg(F.count(F.lit(1)).alias("count"))
 
 
-@_query("SELECT source, count(*) AS count FROM e WHERE source IN ('src-1', 'src-2') GROUP BY source")
+@_query(f"SELECT value, count(*) AS count FROM (SELECT source AS value FROM e WHERE {_RANGE} AND source IN ('src-1', 'src-2')) GROUP BY value")
 def count_source_in(spark, d):
-    return events(spark, d).filter(F.col("source").isin("src-1", "src-2")).groupBy("source").agg(F.count(F.lit(1)).alias("count"))
+    return ops.facets(events(spark, d), _where(sources=("src-1", "src-2")), names=("source",)).select("value", "count")
 
 
 @_query("SELECT count(*) AS count FROM e WHERE level >= 3 AND logger = 'assistant'", CONVERSATIONS_SQL)
@@ -95,22 +117,21 @@ def tail_after(spark, d):
     return ops.tail_page(events(spark, d), LogQuery(WIDE.start, WIDE.end, service="click"), 200)
 
 
-@_query("WITH p AS (SELECT * FROM e WHERE id > 50 ORDER BY id LIMIT 80), s AS (SELECT id, sum(octet_length(encode(message)) + 100) OVER (ORDER BY id) AS total FROM p) SELECT id FROM s WHERE total <= 4000")
+def _json_size(numbers: str, texts: str) -> str:
+    """Bytes of a row as JSON: members that are null are left out; the texts here need escapes for quotation marks only."""
+    parts = [f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) + {len(c) + 4}, 0)" for c in numbers.split()]
+    parts += [f"coalesce(octet_length(encode({c})) + length({c}) - length(replace({c}, chr(34), '')) + {len(c) + 6}, 0)" for c in texts.split()]
+    return " + ".join(parts) + " + 1"
+
+
+@_query(f"WITH p AS (SELECT * FROM e WHERE id > 50 ORDER BY id LIMIT 80), t AS (SELECT id, sum({_json_size('id event_time received_at level pid', 'source service logger host message attributes')}) OVER (ORDER BY id) AS total FROM p) SELECT id FROM t WHERE total <= 9000")
 def tail_byte_budget(spark, d):
-    rows = ops.tail_page(events(spark, d), LogQuery(WIDE.start, WIDE.end, limit=80), 50)
-    total = F.sum(F.octet_length("message") + 100).over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("total", total).filter("total <= 4000").select("id")
+    return ops.tail_page(events(spark, d), LogQuery(WIDE.start, WIDE.end), 50, 80, max_bytes=9_000).select("id")
 
 
 def _facets_sql(where: str, top: int = 100) -> str:
-    return f"""WITH g AS (
-  SELECT service, logger, host, level, source, grouping_id(service, logger, host, level, source) AS g, count(*) AS n FROM e WHERE {where}
-  GROUP BY GROUPING SETS ((service), (logger), (host), (level), (source))
-), v AS (
-  SELECT CASE g WHEN 15 THEN 'service' WHEN 23 THEN 'logger' WHEN 27 THEN 'host' WHEN 29 THEN 'level' ELSE 'source' END AS facet,
-         CASE g WHEN 15 THEN service WHEN 23 THEN logger WHEN 27 THEN host WHEN 29 THEN CAST(level AS VARCHAR) ELSE source END AS value, n, CASE g WHEN 29 THEN level END AS o FROM g
-), r AS (SELECT facet, value, n AS count, row_number() OVER (PARTITION BY facet ORDER BY n DESC, o, value) AS rank FROM v WHERE value IS NOT NULL)
-SELECT * FROM r WHERE rank <= {top}"""
+    one = "SELECT '{0}' AS facet, CAST({0} AS VARCHAR) AS value, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, {0}) AS rank FROM e WHERE ({1}) AND {0} IS NOT NULL GROUP BY {0}"
+    return f"SELECT * FROM ({' UNION ALL '.join(one.format(n, where) for n in FACETS)}) WHERE rank <= {top}"
 
 
 @_query(_facets_sql("true"))
@@ -205,7 +226,11 @@ _attr("attr_int_eq", _eq % ("k", "1"), "json_type(attributes, '$.k') IN ('UBIGIN
 _attr("attr_float_eq", _eq % ("k", "1.5"), "json_type(attributes, '$.k') = 'DOUBLE' AND TRY_CAST(attributes ->> '$.k' AS DOUBLE) = 1.5")
 _attr("attr_bool_eq", _eq % ("k", "true"), "json_type(attributes, '$.k') = 'BOOLEAN' AND attributes ->> '$.k' = 'true'")
 _attr("attr_pair_and", '{"attributes":[{"key":"s","op":"eq","value":"a"},{"key":"a.b","op":"eq","value":"x"}]}', """json_type(attributes, '$.s') = 'VARCHAR' AND attributes ->> '$.s' = 'a' AND attributes ->> '$."a.b"' = 'x'""")
-_attr("attr_root_guard", _eq % ("0", '"s"'), "json_type(attributes) = 'OBJECT' AND attributes ->> '/0' = 's'")
+@_query("""SELECT id % 8 AS form, count(*) AS count, count(*) FILTER (json_type(attributes) = 'OBJECT' AND attributes ->> '$.s' = 'a' AND json_type(attributes, '$.s') = 'VARCHAR') AS hits, count(*) FILTER (json_type(attributes) = 'OBJECT' AND attributes ->> '/0' = 's') AS places FROM m GROUP BY 1""", _MIXED)
+def attr_root_guard(spark, d):
+    """Members of the root object match; places of a root array never do."""
+    member, place = (ops.selection(LogQuery(T0, T0 + 1, attributes=parse_filter(_eq % x))) for x in (("s", '"a"'), ("0", '"s"')))
+    return _mixed(spark, d).groupBy((F.col("id") % 8).cast("bigint").alias("form")).agg(F.count(F.lit(1)).alias("count"), F.count_if(member).alias("hits"), F.count_if(place).alias("places"))
 
 
 @_query("SELECT CAST(props ->> '$.k' AS BIGINT) AS k, count(*) AS count FROM events WHERE CAST(props ->> '$.k' AS BIGINT) >= 50 GROUP BY 1")
@@ -240,43 +265,59 @@ def retention_clip(spark, d):
     return ops.histogram(events(spark, d), _where(), DAY, cutoff=T0 + 5 * DAY + 77)
 
 
-@_query(f"SELECT coalesce(max(id), 0) AS expired_through, count(*) AS rows FROM e WHERE event_time < {T0 + 5 * DAY}")
+@_query(f"SELECT coalesce(max(id), 0)::BIGINT AS expired_through, count(*) AS rows, (SELECT count(*) FROM s WHERE event_time >= {T0 + 5 * DAY}) AS kept FROM s WHERE event_time < {T0 + 5 * DAY}", _STORED)
 def retention_expired_max_id(spark, d):
-    return events(spark, d).filter(F.col("event_time") < long(T0 + 5 * DAY)).agg(F.coalesce(F.max("id"), long(0)).alias("expired_through"), F.count(F.lit(1)).alias("rows"))
+    index = _stored(spark, d)
+    rows = index.retain(T0 + 5 * DAY)
+    return _row(spark, "expired_through long, rows long, kept long", index.manifest().expired_through, rows, index.count(WIDE).first()[0])
 
 
-@_query(f"SELECT max(id) AS last FROM (SELECT id FROM e WHERE event_time < {T0 + 9 * DAY} ORDER BY id LIMIT 700)")
+@_query(f"SELECT max(id) AS last, count(*) AS rows FROM (SELECT id FROM s WHERE event_time < {T0 + 9 * DAY} ORDER BY id LIMIT 700)", _STORED)
 def bounded_max_id(spark, d):
-    return events(spark, d).filter(F.col("event_time") < long(T0 + 9 * DAY)).orderBy("id").limit(700).agg(F.max("id").alias("last"))
+    index = _stored(spark, d)
+    rows = index.delete_hot(T0 + 9 * DAY, 700)
+    return _row(spark, "last long, rows long", index.manifest().expired_through, rows)
 
 
-@_query("SELECT max(event_time) AS last FROM (SELECT event_time FROM e ORDER BY event_time, id LIMIT 700)")
+@_query("SELECT count(*) AS kept, min(event_time) AS first FROM s WHERE event_time > (SELECT max(event_time) FROM (SELECT event_time FROM s ORDER BY event_time, id LIMIT 700))", _STORED)
 def oldest_hot_batch(spark, d):
-    return events(spark, d).select("event_time", "id").orderBy("event_time", "id").limit(700).agg(F.max("event_time").alias("last"))
+    index = _stored(spark, d)
+    index.enforce_size(0, rounds=1, batch=700)
+    return index.read(WIDE).agg(F.count(F.lit(1)).alias("kept"), F.min("event_time").alias("first"))
+
 
+def _parts(spark: SparkSession, parts: tuple[Part, ...]) -> DataFrame:
+    return spark.createDataFrame([(p.path, p.rows, p.min_time, p.max_time, p.min_id, p.max_id, p.bytes) for p in parts], "path string, rows long, min_time long, max_time long, min_id long, max_id long, bytes long")
 
-@_query(f"SELECT count(*) AS rows, min(event_time) AS min_time, max(event_time) AS max_time, coalesce(min(id), 0) AS min_id, max(id) AS max_id FROM e WHERE {_RANGE}")
+
+@_query(f"SELECT sum(n)::BIGINT AS rows, min(min_time) AS min_time, max(max_time) AS max_time, min(min_id) AS min_id, max(max_id) AS max_id FROM (SELECT count(*) AS n, min(event_time) AS min_time, max(event_time) AS max_time, min(id) AS min_id, max(id) AS max_id FROM s WHERE event_time < {T0 + 20 * DAY})", _STORED)
 def archive_window_stats(spark, d):
-    return events(spark, d).filter(ops.selection(_where())).agg(F.count(F.lit(1)).alias("rows"), F.min("event_time").alias("min_time"), F.max("event_time").alias("max_time"), F.coalesce(F.min("id"), long(0)).alias("min_id"), F.max("id").alias("max_id"))
+    index = _stored(spark, d)
+    index.archive(T0 + 20 * DAY)
+    return _parts(spark, index.manifest().archives).agg(F.sum("rows").alias("rows"), F.min("min_time").alias("min_time"), F.max("max_time").alias("max_time"), F.min("min_id").alias("min_id"), F.max("max_id").alias("max_id"))
 
 
-@_query("SELECT sum(octet_length(encode(message)) + octet_length(encode(attributes)) + octet_length(encode(source)) + 128)::BIGINT AS bytes FROM e")
+@_query("SELECT sum(octet_length(encode(message)) + octet_length(encode(attributes)) + octet_length(encode(source)) + 128)::BIGINT AS bytes FROM s", _STORED)
 def archive_byte_estimate(spark, d):
-    return events(spark, d).agg(F.sum(F.octet_length("message") + F.octet_length("attributes") + F.octet_length("source") + 128).alias("bytes"))
+    return ops.estimated_bytes(_stored(spark, d).read(WIDE))
 
 
-@_query(f"SELECT event_time - event_time % {HOUR} AS partition_start, count(*) AS rows, min(id) AS min_id, max(id) AS max_id FROM e GROUP BY 1")
+@_query(f"SELECT event_time - event_time % {HOUR} AS partition_start, count(*) AS rows, min(id) AS min_id, max(id) AS max_id FROM s WHERE event_time < {T0 + 20 * DAY} GROUP BY 1", _STORED)
 def archive_partition_plan(spark, d):
-    start = F.col("event_time") - F.pmod(F.col("event_time"), long(HOUR))
-    return events(spark, d).groupBy(start.alias("partition_start")).agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("min_id"), F.max("id").alias("max_id"))
+    index = _stored(spark, d)
+    index.archive(T0 + 20 * DAY)
+    files = _parts(spark, index.manifest().archives).withColumn("partition_start", F.regexp_extract("path", r"part=(-?\d+)/", 1).cast("bigint"))
+    return files.groupBy("partition_start").agg(F.sum("rows").alias("rows"), F.min("min_id").alias("min_id"), F.max("max_id").alias("max_id"))
 
 
-@_query("SELECT 'archive' AS tier, count(*) FILTER (id % 2 = 0) AS rows, 0::BIGINT AS slots FROM e UNION ALL SELECT 'hot', count(*) FILTER (id % 2 = 1), 0::BIGINT FROM e")
+@_query(f"SELECT CASE WHEN event_time < {T0 + 10 * DAY} THEN 'archive' ELSE 'hot' END AS tier, count(*) AS rows, count(*) FILTER (event_time >= {T0 + 10 * DAY} AND id > (SELECT count(*) FROM s)) AS covered FROM s2 GROUP BY 1", f"{_STORED}, s2 AS (SELECT id, event_time FROM s UNION ALL SELECT id + (SELECT count(*) FROM s), event_time FROM s WHERE event_time >= {T0 + 10 * DAY})")
 def archive_union_by_name(spark, d):
-    e = events(spark, d)
-    hot = e.filter("id % 2 = 1").withColumn("tier", F.lit("hot")).withColumn("pa_0", F.lit(None).cast("string"))
-    old = e.filter("id % 2 = 0").withColumn("tier", F.lit("archive"))
-    return hot.unionByName(old, allowMissingColumns=True).groupBy("tier").agg(F.count(F.lit(1)).alias("rows"), F.count("pa_0").alias("slots"))
+    """Files from before and after keys were promoted, hot and archived, read as one table."""
+    index = _stored(spark, d)
+    index.archive(T0 + 10 * DAY)
+    index.promote(("k",))
+    index.append(events(spark, d).filter(F.col("event_time") >= long(T0 + 10 * DAY)).withColumn("position", F.col("id")), None, received_at=T0)
+    return index.projection_status()
 
 
 _KEY = ("s",)
@@ -328,10 +369,37 @@ def import_pino_projection(spark, d):
 
 @_query("WITH f AS (SELECT o_custkey AS part, o_orderkey AS path, cast(floor(o_totalprice) AS BIGINT) AS bytes FROM orders), r AS (SELECT *, row_number() OVER w AS n, sum(bytes) OVER w AS total FROM f WINDOW w AS (PARTITION BY part ORDER BY bytes, path)) SELECT part, count(*) AS files, max(total)::BIGINT AS bytes FROM r WHERE n <= 16 AND total <= 500000 GROUP BY part HAVING count(*) >= 2", "z AS (SELECT 1)")
 def compaction_candidates(spark, d):
-    f = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("part"), F.col("o_orderkey").alias("path"), F.floor("o_totalprice").cast("bigint").alias("bytes"))
-    w = Window.partitionBy("part").orderBy("bytes", "path")
-    r = f.withColumn("n", F.row_number().over(w)).withColumn("total", F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return r.filter("n <= 16 AND total <= 500000").groupBy("part").agg(F.count(F.lit(1)).alias("files"), F.max("total").alias("bytes")).filter("files >= 2")
+    """The plan for a manifest whose files are the orders, a customer being a partition of time. A manifest is driver state."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderkey", F.floor("o_totalprice").cast("bigint").alias("bytes")).collect()
+    manifest = Manifest(archives=tuple(Part(f"{r['o_orderkey']:012d}", 1, r["o_custkey"] * HOUR, r["o_custkey"] * HOUR, 1, 1, r["bytes"]) for r in orders))
+    plans = Index(spark, f"{shared_dir(spark)}/stratalog-index-{uuid.uuid4().hex}").compaction_plans(manifest, size=500_000)
+    return spark.createDataFrame([(start // HOUR, len(p), sum(x.bytes for x in p)) for start, p in plans], "part long, files long, bytes long")
+
+
+@_query(f"SELECT count(*) AS rows, max(id) AS last, sum(event_time)::BIGINT AS times FROM s WHERE event_time < {T0 + 20 * DAY}", _STORED)
+def compacted_rows(spark, d):
+    index = _stored(spark, d)
+    middle = index.manifest().hot[0].max_time
+    index.archive(min(middle, T0 + 20 * DAY))
+    index.archive(T0 + 20 * DAY)
+    index.compact()
+    index.verify()
+    return index.read(WIDE).filter(F.col("event_time") < long(T0 + 20 * DAY)).agg(F.count(F.lit(1)).alias("rows"), F.max("id").alias("last"), F.sum("event_time").alias("times"))
+
+
+@_query("SELECT event_type AS service, count(*) AS n, true AS within FROM events WHERE value > 0 GROUP BY 1", "z AS (SELECT 1)")
+def latency_sketch_bounds(spark, d):
+    """Whether the sketch's bound of the 95th percentile lies within its error above the exact one."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("service"), "value").filter("value > 0")
+    bound = ops.sketch_quantile(ops.latency_sketch(e, "value", ["service"]), 0.95, ["service"])
+    exact = e.groupBy("service").agg(F.count(F.lit(1)).alias("n"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("exact"))
+    return exact.join(bound, "service").select("service", "n", ((F.col("exact") <= F.col("bound") * (1 + 1e-9)) & (F.col("bound") <= F.col("exact") * (1 + ops.SKETCH_ERROR) + ops.SKETCH_LEAST)).alias("within"))
+
+
+@_query("SELECT message, (length(message) - length(replace(message, 'er', ''))) // 2 AS hits, message AS back, count(*) AS n FROM e GROUP BY 1")
+def highlight_split(spark, d):
+    parts = ops.highlighted(events(spark, d).groupBy("message").agg(F.count(F.lit(1)).alias("n")), "er")
+    return parts.select("message", F.size(F.filter("parts", lambda p: p["hit"])).cast("bigint").alias("hits"), F.concat_ws("", F.transform("parts", lambda p: p["text"])).alias("back"), "n")
 
 
 @_query("WITH s AS (SELECT user_id AS key, event_id AS time, (event_id * 37) % 1000 AS value FROM events), r AS (SELECT *, value - lag(value) OVER w AS dv, time - lag(time) OVER w AS dt FROM s WINDOW w AS (PARTITION BY key ORDER BY time)) SELECT count(*) AS samples, count(*) FILTER (dv >= 0 AND dt > 0) AS rates, max(dv * 1000.0::DOUBLE / dt) FILTER (dv >= 0 AND dt > 0) AS top FROM r", "z AS (SELECT 1)")
@@ -349,11 +417,11 @@ def latency_percentile_bound(spark, d):
     return ops.percentile_bound(ops.cumulative_buckets(e, "value", _BOUNDS, ["service"]), 0.95, ["service"]).filter("bound IS NOT NULL")
 
 
-@_query("SELECT id FROM e WHERE id NOT IN (SELECT id FROM e WHERE event_time < 1706000000000 ORDER BY id LIMIT 300)")
+@_query("SELECT id FROM s WHERE id NOT IN (SELECT id FROM s WHERE event_time < 1706000000000 ORDER BY id LIMIT 300)", _STORED)
 def bounded_delete(spark, d):
-    e = events(spark, d).select("id", "event_time")
-    gone = e.filter(F.col("event_time") < long(1_706_000_000_000)).orderBy("id").limit(300).select("id")
-    return e.join(gone, "id", "left_anti").select("id")
+    index = _stored(spark, d)
+    index.delete_hot(1_706_000_000_000, 300)
+    return index.read(WIDE).select("id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

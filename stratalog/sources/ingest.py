@@ -84,7 +84,24 @@ def read_array(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(listed).alias("position", "v")).select(F.to_json("v").alias("value"), F.col("position").cast("bigint").alias("position"))
 
 
-def project(lines: DataFrame) -> DataFrame:
+def too_deep(value: Column, limit: int) -> Column:
+    """Whether arrays and objects nest deeper than the limit: without strings, each round takes away the innermost pairs of brackets."""
+    plain = F.regexp_replace(value, r'"(?:\\.|[^"\\])*+"', "")
+    left = F.translate(F.regexp_replace(plain, r"[^\[\]{}]", ""), "{}", "[]")
+    after = left
+    for _ in range(limit):
+        after = F.replace(after, F.lit("[]"), F.lit(""))
+    return (F.length(left) > 2 * limit) & (after != "")
+
+
+def name_too_long(value: Column, limit: int) -> Column:
+    """Whether a member's name, at whatever depth, takes more bytes than the limit."""
+    read = lambda n: F.from_json(F.concat(F.lit('["'), n, F.lit('"]')), "array<string>")[0]
+    names = F.regexp_extract_all(value, F.lit(r'"((?:\\.|[^"\\])*+)"\s*:'), F.lit(1))
+    return (F.octet_length(value) > limit) & F.exists(F.filter(names, lambda n: F.octet_length(n) > limit), lambda n: F.octet_length(read(n)) > limit)
+
+
+def project(lines: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """Events from column value: known members become columns, all others stay in attributes, whatever they are called.
 
     Columns that a producer can't set (id, source, received_at) come later. bad holds what is wrong with the members.
@@ -103,6 +120,8 @@ def project(lines: DataFrame) -> DataFrame:
 
     bad = F.coalesce(
         F.when(F.col("m").isNull(), "event must be an object"),
+        F.when(too_deep(F.col("value"), limits.depth), "event is nested too deeply"),
+        F.when(name_too_long(F.col("value"), limits.field), "a member's name is too long"),
         F.when(whole("time", "bigint").isNull(), "time must be integer Unix milliseconds"),
         F.when(~whole("time", "bigint").between(0, MAX_TIME), "time is out of range"),
         F.when(whole("level", "int").isNull() | (whole("level", "int") < 0), "level must be a nonnegative integer"),

@@ -10,10 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stratalog.operators import ops
 from stratalog.operators.predicates import long, selection
-from stratalog.operators.store import Index
+from stratalog.operators.store import Files, Index
 from stratalog.plans.cursor import decode_tail, encode_tail
 from stratalog.plans.query import Gap, LogQuery
-from stratalog.schema import COLUMNS, stored_schema
+from stratalog.schema import COLUMNS
 
 
 def resume(index: Index, query: LogQuery, token: str | None = None, limit: int | None = None, max_bytes: int | None = None) -> tuple[list[Row], str]:
@@ -41,25 +41,36 @@ def resume(index: Index, query: LogQuery, token: str | None = None, limit: int |
     return sized, encode_tail(query, sized[-1]["id"] if full else newest)
 
 
-def follow(index: Index, query: LogQuery, deliver: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None, after: int = 0) -> StreamingQuery:
-    """Structured Streaming over the commit log: each micro-batch is delivered in the order of ids, at least once.
+def follow(index: Index, query: LogQuery, deliver: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None, after: int | None = None) -> StreamingQuery:
+    """Structured Streaming over the commits: each micro-batch is delivered in the order of ids, at least once.
 
-    Archival and compaction write elsewhere, so they never look like new events. Late events are events: order is that
-    of ingestion and nothing is dropped for its time, so there is no watermark.
+    A new manifest starts a micro-batch; what it delivers is read from the files that the newest manifest names, from the
+    last id delivered to the last committed. So batches that lost their commit are never seen, and events that were
+    archived or compacted meanwhile are found where they are now. Events that expired before they were delivered are a
+    Gap, which ends the stream. Late events are events: order is that of ingestion, so there is no watermark. `after` is
+    the id to begin behind; without it the stream begins with all that is kept. Progress lies in the checkpoint's folder.
     """
-    m = index.manifest()
-    rows = (
-        index.spark.readStream.schema(stored_schema(len(m.promoted)))
-        .option("recursiveFileLookup", "true")
-        .parquet(index.files.uri("log"))
-        .filter(selection(query, promoted=m.promoted) & (F.col("id") > long(after)))
-        .select(*COLUMNS)
-    )
+    spark, progress = index.spark, Files(index.spark, f"{checkpoint.rstrip('/')}/delivered")
+    index.files.make("manifest")
 
-    def batch(df: DataFrame, epoch: int) -> None:
-        deliver(df.orderBy("id"), epoch)
+    def batch(_: DataFrame, epoch: int) -> None:
+        before = [n for n in progress.names("") if n.isdigit() and int(n) < epoch]
+        last = int(progress.read(max(before, key=int))) if before else after
+        m = index.manifest()
+        if last is None:
+            last = m.expired_through
+        if last < m.expired_through:
+            raise Gap(f"events through {m.expired_through} have expired")
+        newest, q = m.next_id - 1, query.clipped(m.before_time)
+        if newest > last:
+            rows = index.read(q, last, m).filter(selection(q, promoted=m.promoted) & (F.col("id") > long(last)) & (F.col("id") <= long(newest)))
+            deliver(rows.select(*COLUMNS).orderBy("id"), epoch)
+        progress.put(str(epoch), str(max(last, newest)))
+        for n in before[:-1]:
+            progress.delete(n)
 
-    return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+    commits = spark.readStream.format("text").option("wholetext", "true").option("ignoreMissingFiles", "true").option("pathGlobFilter", "*.json").load(index.files.uri("manifest"))
+    return commits.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
 def windowed_counts(stream: DataFrame, interval: str = "1 hour", late: str = "10 minutes") -> DataFrame:
