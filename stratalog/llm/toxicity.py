@@ -20,13 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, materialise, text_of
 
 #: Bounds of what the lexicon is learnt from, and of the lexicon.
-SAMPLE_ROWS, MAX_TERMS = 20_000, 2_000
+SAMPLE_ROWS, MAX_TERMS = 20_000, 20_000
 STEMS, WINDOW, MENTION = range(4, 8), 8, 0.35
 PRIOR = 0.6  # worth of a misspelling never met, two observations strong
 
@@ -201,22 +201,22 @@ class Scorer:
         return float(min(1.0, max(self.base / 2, 1 - clean * (1 - mentioned))))
 
 
-def _g2(a: float, b: float, pos: float, neg: float) -> float:
+def _g2(a: Column, b: Column, pos: int, neg: int) -> Column:
     """Log-likelihood ratio of a and b of pos and neg documents."""
-    total, n = a + b, pos + neg
-    g = 0.0
+    rate = (a + b) / (pos + neg)
+    g = F.lit(0.0)
     for seen, of in ((a, pos), (b, neg)):
-        for got, rate in ((seen, total / n), (of - seen, 1 - total / n)):
-            if got > 0 and rate > 0:
-                g += got * math.log(got / (of * rate))
+        for got, share in ((seen, rate), (of - seen, 1 - rate)):
+            g += F.when((got > 0) & (share > 0), got * F.log(got / (of * share))).otherwise(0.0)
     return 2 * g
 
 
-_HASHES = 4
+#: Min-hashes of a text, and how many of them near copies share: a similarity of 0.8.
+_HASHES, _SAME = 20, 16
 
 
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Some min-hashes of a text's runs of five words."""
+    """Min-hashes of a text's runs of five words."""
     seeds = np.arange(1, _HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for b in batches:
         rows = []
@@ -224,19 +224,21 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = text.split()
             h = np.fromiter({zlib.crc32(" ".join(words[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 4))}, np.uint64)
             mixed = (h[:, None] + seeds) * np.uint64(0xFF51AFD7ED558CCD)
-            rows.append(((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)).min(0).view(np.int64))
-        yield pd.DataFrame(np.array(rows).reshape(-1, _HASHES), columns=[f"m{k}" for k in range(_HASHES)]).assign(id=b["id"].to_numpy())
+            rows.append(((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)).min(0).view(np.int64).tolist())
+        yield pd.DataFrame({"id": b["id"], "sketch": pd.Series(rows, dtype=object)})
 
 
 def distinct_ids(rows) -> list[int]:
-    """Of rows that share a min-hash, so of copies and near copies, the smallest id: what copies hold they say once."""
-    seen: set[tuple[int, int]] = set()
+    """The ids of rows that are no near copies of one with a smaller id that is kept: what copies hold they say once."""
+    kept: dict[tuple[int, int], list[int]] = {}
     out = []
     for r in sorted(rows, key=lambda r: r["id"]):
-        keys = [(k, r[f"m{k}"]) for k in range(_HASHES)]
-        if not any(k in seen for k in keys):
+        keys = list(enumerate(r["sketch"]))
+        shared = Counter(i for k in keys for i in kept.get(k, ()))
+        if not shared or max(shared.values()) < _SAME:
             out.append(r["id"])
-        seen.update(keys)
+            for k in keys:
+                kept.setdefault(k, []).append(r["id"])
     return out
 
 
@@ -244,45 +246,50 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A scorer from at most sample_rows labelled rows, none of them held out, copies and near copies counting once.
 
     Which rows: those of the smallest hashes of their ids. Words are counted where the documents lie and summed by
-    partial aggregates; only features that toxic documents hold come to the driver. Without labelled rows of both kinds the
-    lexicon is empty.
+    partial aggregates; only features that pass the log-likelihood test, and misspellings of the terms, come to the driver.
+    Of more terms than max_terms those of the highest log-likelihood are kept. Without labelled rows of both kinds the
+    lexicon is empty. Null labels and ids teach nothing; of an id's labels the larger counts. Null texts are empty.
     """
     ids = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("y"))
     chosen = ids.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "id")  # sample_rows bounds it
     sample = materialise(rows, "labelled")
-    alone = distinct_ids(sample.mapInPandas(_sketches, f"id long, {', '.join(f'm{k} long' for k in range(_HASHES))}").collect())  # numbers only, sample_rows of them
+    alone = distinct_ids(sample.mapInPandas(_sketches, "id long, sketch array<long>").collect())  # numbers only, sample_rows of them
     rows = sample.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in alone], "id long")), "id").select("text", "y")
 
+    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
+    base = (pos + 1) / (pos + neg + 20)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, list[int]] = {}
-        n = [0, 0]
         for b in batches:
             for text, y in zip(b["text"], b["y"], strict=True):
-                n[y] += 1
                 words = set(_WORD.findall(text.lower()))
                 for f in words | {w[:k] + "\0" for w in words for k in STEMS if len(w) >= k}:
                     seen.setdefault(f, [0, 0])[y] += 1
-        yield pd.DataFrame([(f, v[1], v[0]) for f, v in seen.items()] + [("", n[1], n[0])], columns=["f", "toxic", "clean"])
+        yield pd.DataFrame([(f, v[1], v[0]) for f, v in seen.items()], columns=["f", "toxic", "clean"])
 
-    counted = rows.mapInPandas(count, "f string, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    kept = counted.filter((F.col("f") == "") | ((F.col("toxic") >= 4) & (F.col("toxic") > F.col("clean")))).orderBy(F.desc("toxic"), "f").limit(50_000).collect()
-    table = {r["f"]: (r["toxic"], r["clean"]) for r in kept}
-    pos, neg = table.pop("", (0, 0))
-    base = (pos + 1) / (pos + neg + 20)
     terms: dict[tuple[str, bool], tuple[int, int]] = {}
     if pos and neg:
         bar = 2 * math.log(200_000)  # a chance of 1 in 200,000 a candidate: a good term is met in many toxic documents
-        good = {f: v for f, v in table.items() if _g2(*v, pos, neg) > bar and v[0] >= 0.75 * (v[0] + v[1])}
+        counted = rows.mapInPandas(count, "f string, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        sure = counted.filter(F.col("toxic") >= 3 * F.col("clean")).withColumn("g2", _g2(F.col("toxic"), F.col("clean"), pos, neg)).filter(F.col("g2") > bar)
+        found = sure.collect()
+        worth = {r["f"]: r["g2"] for r in found}
+        good = {r["f"]: (r["toxic"], r["clean"]) for r in found}
         words = {f: v for f, v in good.items() if not f.endswith("\0")}
         stems = {f[:-1]: v for f, v in good.items() if f.endswith("\0")}
+        leading: dict[str, int] = {}  # the most toxic documents that one word with this beginning has
+        for w, v in words.items():
+            for k in STEMS:
+                if len(w) >= k:
+                    leading[w[:k]] = max(leading.get(w[:k], 0), v[0])
         for s in sorted(stems, key=len):  # the shortest beginning that is as sure; none where one word accounts for it
-            if any(s[:k] in stems and (s[:k], True) in terms for k in STEMS if k < len(s)):
-                continue
-            if not any(w.startswith(s) and v[0] >= 0.8 * stems[s][0] for w, v in words.items()):
+            if not any((s[:k], True) in terms for k in STEMS if k < len(s)) and leading.get(s, 0) < 0.8 * stems[s][0]:
                 terms[s, True] = stems[s]
         terms |= {(w, False): v for w, v in words.items()}  # those of a stem too: long ones take more errors than it does
-        terms = dict(sorted(terms.items(), key=lambda x: (-x[1][0], x[0]))[:max_terms])
+        terms = dict(sorted(terms.items(), key=lambda x: (-worth[x[0][0] + "\0" * x[0][1]], x[0]))[:max_terms])
     names = sorted(terms)
     scorer = Scorer(names, [(terms[t][0] + base) / (sum(terms[t]) + 1) for t in names], [PRIOR] * len(names), {}, base).prepare()
 
@@ -302,8 +309,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         # each spelling met counts once: one ordinary word near a term, however frequent, says little of spellings never met
         for r in got.groupBy("k").agg(F.sum(F.col("toxic") / (F.col("toxic") + F.col("clean"))).alias("toxic"), F.count(F.lit(1)).alias("met")).collect():
             scorer.misspelt[r["k"]] = (r["toxic"] + 2 * PRIOR) / (r["met"] + 2)
-        often = got.orderBy(F.desc(F.col("toxic") + F.col("clean")), "w").limit(50_000).collect()
-        scorer.known = {r["w"]: (r["toxic"] + scorer.misspelt[r["k"]]) / (r["toxic"] + r["clean"] + 1) for r in often}
+        scorer.known = {r["w"]: (r["toxic"] + scorer.misspelt[r["k"]]) / (r["toxic"] + r["clean"] + 1) for r in got.collect()}  # words of the sample that are near a term
     return Scorer(scorer.terms, scorer.worth, scorer.misspelt, scorer.known, scorer.base)
 
 
@@ -321,7 +327,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
 
 
 def drop_toxic(docs: DataFrame, scorer: Scorer, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with their columns."""
+    """The rows of docs that are not predicted toxic, with their columns, whatever their names. Null and empty texts stay, repeated rows go or stay together; an empty table gives an empty result."""
 
     def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         s = Scorer(scorer.terms, scorer.worth, scorer.misspelt, scorer.known, scorer.base).prepare()
