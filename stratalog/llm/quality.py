@@ -22,6 +22,8 @@ from .common import held_out, text_of
 
 #: Bound of what the model is fitted on; words in a passage; buckets for word shapes.
 SAMPLE_ROWS, PASSAGE, SHAPES = 6_000, 96, 24
+#: Passages of a labelled row that the model is fitted on, evenly spaced; scoring takes all.
+SAMPLE_PASSAGES = 64
 _STYLE = 15
 
 _KIND = bytes.maketrans(bytes(range(256)), bytes(ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c >= 128 else ord("0") if 48 <= c <= 57 else c for c in range(256)))
@@ -122,15 +124,22 @@ def fit(bags: list[np.ndarray], y: np.ndarray, hidden: int = 16, epochs: int = 2
     return m
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """A model from at most sample_rows labelled rows, none held out: those of the smallest hashes of their ids. None where one class is missing."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_passages: int = SAMPLE_PASSAGES) -> Model | None:
+    """A model from at most sample_rows labelled rows, none held out: those of the smallest hashes of their ids. None where one class is missing.
+
+    Of a row's passages at most sample_passages, evenly spaced, are learnt from, which bounds what comes to the driver. Null
+    labels and ids teach nothing; of an id's labels the larger counts; repeated rows of documents count each. Null texts are empty.
+    """
     ids = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("y"))
     chosen = ids.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "id")  # sample_rows bounds it
 
+    def some(bag: np.ndarray) -> np.ndarray:
+        return bag if len(bag) <= sample_passages else bag[np.linspace(0, len(bag) - 1, sample_passages).astype(int)]
+
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "y": b["y"], "bag": [encode(t).astype(np.float32).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"id": b["id"], "y": b["y"], "bag": [some(encode(t)).astype(np.float32).tobytes() for t in b["text"]]})
 
     got = sorted(rows.mapInPandas(bags, "id long, y int, bag binary").collect(), key=lambda r: (r["id"], bytes(r["bag"])))
     y = np.array([r["y"] for r in got], np.float64)
