@@ -126,7 +126,12 @@ def reply_chains(conversations: DataFrame, id_col: str = "conv_id", turn_col: st
 
 
 def format_conversations(nodes: DataFrame, learn: str = "assistant") -> DataFrame:
-    """(tree, formatted, loss_spans, n_turns, branch_score) for each tree of nodes (tree, node, parent, score, role, text): its best branch as one conversation. Loss spans are (start, end) in code points."""
+    """(tree, formatted, loss_spans, n_turns, branch_score) for each tree of nodes (tree, node, parent, score, role, text): its best branch as one conversation. Loss spans are (start, end) in code points.
+
+    (tree, node) is unique, as it is in what `reply_chains` gives; ties between branches go by length, then by the smaller
+    leaf. Messages in a circle are in no branch, and a tree of nothing else gives no row. An empty table gives an empty one.
+    Other columns are not read. A conversation's turns meet in one task, since it is one row of the output.
+    """
     nodes = materialise(nodes, "messages")
     path = chosen_paths(nodes)
     turns = path.join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
@@ -143,7 +148,7 @@ def format_conversations(nodes: DataFrame, learn: str = "assistant") -> DataFram
 
 
 def digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """What the formatted conversations hold, read back from them."""
+    """What the formatted conversations hold, read back from them, a row each; an empty table gives none."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from hashlib import sha256

@@ -1,7 +1,8 @@
 """Exact duplicates, safe under skew.
 
 Texts are equal when they are identical after every blank is deleted. Three combines find the groups, and each compares
-whole normalised texts, the digest only being the part of the key that deals rows out:
+whole normalised texts, the digest only being the part of the key that deals rows out. The winners then go back to the
+rows by SHA-256, a 64-bit hash and the length, which name a class whose texts were compared whole:
 
 1. each task merges the rows it holds (the map side of the first aggregate, keyed by digest, salt and whole text);
 2. the salted groups merge: a text that a third of all rows share is dealt to `SALTS` tasks, each getting a row per task and salt;
@@ -80,7 +81,7 @@ def mark_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with the columns of docs."""
+    """The rows that stay, with the columns of docs, whatever their names: of each group of equal texts one, also of repeated rows and of rows without an id or text. An empty table gives an empty one."""
     columns = docs.columns
     packed = docs.select(F.col(id_col), F.col(text_col), F.struct(*[F.col(c) for c in columns]).alias("whole_row"))
     return mark_exact_duplicates(packed, id_col, text_col, carry=["whole_row"]).filter("kept").select("whole_row.*")

@@ -1,0 +1,129 @@
+"""The pipeline against a plain version of each stage, and its stages on odd tables."""
+
+import re
+import shutil
+import zlib
+
+import pytest
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from stratalog.llm import packing, simhash, toxicity
+from stratalog.llm.common import documents, table
+from stratalog.llm.queries import tokenizer_file
+
+
+def plain_exact(rows):
+    best = {}
+    for i, t in rows:
+        key = re.sub(r"[\x20\x09-\x0D]", "", t)
+        if key not in best or (-len(t), i) < best[key][0]:
+            best[key] = ((-len(t), i), (i, t))
+    return sorted(v for _, v in best.values())
+
+
+def plain_near(rows):
+    prints, root = [simhash.fingerprint(t) for _, t in rows], list(range(len(rows)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 4 and top(a) != top(b):
+                root[max(top(a), top(b))] = min(top(a), top(b))  # rows come by id, so the root has the smallest
+    return [r for k, r in enumerate(rows) if top(k) == k]
+
+
+def shingles(text):
+    words = re.findall(r"[^\W_]+", text.lower())
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_clean(rows, items):
+    items = [s for s in map(shingles, items) if s]
+    held = [(i, t, shingles(t)) for i, t in rows]
+    return [(i, t) for i, t, h in held if not any(len(s & h) >= 0.8 * len(s) - 1e-9 for s in items)]
+
+
+def best_fit(lengths, capacity=2048):
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fit = [(r, k) for k, r in enumerate(rooms) if r >= n]
+        if fit:
+            rooms[min(fit)[1]] -= n
+        else:
+            rooms.append(capacity - n)
+    return sorted(rooms)
+
+
+def test_against_plain_stages(spark, sf):
+    sf = sf.replace("0.001", "0.01")  # there every stage has something to do
+    rows = sorted((r["doc_id"], r["text"] or "") for r in documents(spark, sf).select("doc_id", "text").collect())
+    scorer = toxicity.learn(documents(spark, sf), table(spark, sf, "labels")).prepare()
+    left = [(i, t) for i, t in rows if scorer.score(t) < 0.5]
+    n_toxic = len(rows) - len(left)
+    left = plain_exact(left)
+    n_exact = len(left)
+    left = plain_near(left)
+    n_near = len(left)
+    left = plain_clean(left, [r["text"] or "" for r in table(spark, sf, "benchmark").collect()])
+    assert n_toxic and n_near < n_exact and len(left) < n_near, "every stage has something to do"
+    plain, want = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json")), {}
+    for i, t in left:
+        ids = [*plain.encode(t, add_special_tokens=False).ids, 0]
+        for k, (s, n) in enumerate(packing.cut(len(ids))):
+            want[i, k] = (s, n, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[s : s + n])))
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got} == want and len(got) == len(want)
+    bins = {}
+    for r in sorted(got, key=lambda r: r["offset"]):
+        assert bins.get(r["sequence_id"], 0) == r["offset"]
+        bins[r["sequence_id"]] = r["offset"] + r["length"]
+    assert sorted(2048 - n for n in bins.values()) == best_fit([n for _, n, _ in want.values()])
+
+
+ODD = ["id", "fp", "row", "root", "kept_id", "bad_id", "doc", "item", "w", "h", "whole_row", "salt", "norm", "component_id", "score", "again", "text_sha256", "len_", "sequence_id"]
+
+
+def odd_table(spark):
+    near = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(None, near), (3, near), (3, near), (2, near + " "), (4, None), (5, ""), (6, " \n"), (None, None), (7, "x" * 300_000), (8, "word " * 60_000), (9, "é 雪 \x00 <|endoftext|>"), (9, "another text under the same id, all of it its own")]
+    return spark.createDataFrame([(i, t, *range(len(ODD))) for i, t in rows], f"doc_id long, text string, {', '.join(c + ' int' for c in ODD)}"), rows
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_filtering_stages_bear_odd_tables(spark, sf, k):
+    df, rows = odd_table(spark)
+    stage = corpus_pipeline.STAGES[k][1]
+    got = stage(spark, df, sf)
+    assert got.columns == df.columns and got.schema["doc_id"].dataType == df.schema["doc_id"].dataType
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    if k in (0, 3):
+        assert kept == sorted(rows, key=str)  # nothing is toxic or contaminated here
+    elif k == 1:
+        assert len(kept) == 6 and (2, rows[3][1]) in kept and sum((t or "").strip() == "" for _, t in kept) == 1
+    else:
+        assert len(kept) == 6 and (2, rows[3][1]) in kept and (4, None) in kept and sum(i == 9 for i, _ in kept) == 2
+    assert all(r[c] == n for r in got.collect() for n, c in enumerate(ODD))
+    empty = stage(spark, df.limit(0), sf)
+    assert empty.columns == df.columns and empty.collect() == []
+
+
+def test_the_last_stage_bears_odd_tables(spark, sf):
+    df, rows = odd_table(spark)
+    got = corpus_pipeline.STAGES[4][1](spark, df, sf).collect()
+    assert sum(r["piece"] == 0 for r in got) == len(rows) and sum(r["doc_id"] is None and r["piece"] == 0 for r in got) == 2
+    assert corpus_pipeline.STAGES[4][1](spark, df.limit(0), sf).collect() == []
+
+
+def test_learning_from_empty_tables(spark, sf, tmp_path):
+    for name in ("labels", "benchmark"):
+        table(spark, sf, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    shutil.copy(f"{sf}/documents.parquet", f"{tmp_path}/documents.parquet")
+    n = documents(spark, sf).select("doc_id").distinct().count()
+    docs = documents(spark, str(tmp_path))
+    assert corpus_pipeline.stage_toxicity(spark, docs, str(tmp_path)).count() == docs.count()
+    assert corpus_pipeline.stage_decontamination(spark, docs, str(tmp_path)).select("doc_id").distinct().count() == n
