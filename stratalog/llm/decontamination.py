@@ -6,9 +6,9 @@ document when at least `THRESHOLD` of the item's distinct shingles occur in it,
 A symmetric sketch can't see a short item in a long document, so the sketch is one-sided and sized by the item. Items are
 partitioned by their number of shingles n; those of a partition keep their k = n - ceil(t * n) + 1 smallest shingle
 hashes (bottom-k MinHash). If t of the item's shingles are in a document, at most k - 1 are missing, so at least one of
-the k is there: the candidate search loses nothing, and looks at a fifth of the items' shingles. The largest hash that a
-partition's sketches hold bounds what has to be looked up in it; document shingles above all bounds are dropped as they
-are made, and the bounds cut the hashes into ranges that are joined each with the sketches that reach so far. The
+the k is there: the candidate search loses nothing, and looks at a fifth of the items' shingles. The largest hash that
+any partition's sketches hold bounds what has to be looked up; document shingles above it are dropped as they are made,
+and one look-up by hash serves all partitions, for a row a partition would make the documents' shingles many. The
 shingles of candidate pairs, and of no others, are then compared themselves.
 """
 
@@ -70,26 +70,21 @@ def find_contaminated(
     need = F.ceil(F.col("n") * F.lit(float(threshold)) - F.lit(1e-9))
     ranked = materialise(ranked.withColumn("need", need).withColumn("sketch", F.col("rank") <= F.col("n") - need + 1), "items")
     # partitions by size: powers of two of n; each has its own sketches, and the largest hash that they hold
-    size_class = F.floor(F.log2("n")).cast("int")
-    sketches = ranked.filter("sketch").select("h", "item", size_class.alias("size_class"))
-    parts = sketches.groupBy("size_class").agg(F.max("h").alias("top"), F.count(F.lit(1)).alias("rows")).orderBy("size_class").collect()  # a row for each power of two
+    sketches = ranked.filter("sketch").select("h", "item", F.floor(F.log2("n")).alias("size_class"))
+    parts = sketches.groupBy("size_class").agg(F.max("h").alias("top"), F.count(F.lit(1)).alias("rows")).collect()  # a row for each power of two
     if not parts:
         return docs.sparkSession.createDataFrame([], f"{id_col} bigint, {item_id_col} bigint, item_shingles bigint, matched bigint, containment double")
-    # a hash is looked up in the partitions whose bound it keeps; where several have it, under the least of them
-    within = F.coalesce(*[F.when(F.col("h") <= p["top"], F.lit(k)) for k, p in enumerate(sorted(parts, key=lambda p: p["top"]))])
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), words_of(text_of(text_col)).alias("w")).filter("doc IS NOT NULL")
-    low = _shingled(rows, ["doc"]).select("doc", _hash().alias("h")).withColumn("within", within).filter("within IS NOT NULL")
-    looked_up = sketches.select("h", "item").withColumn("within", within).distinct()
-    hits = low.join(_small(looked_up, _ROW_BYTES * sum(p["rows"] for p in parts)), ["within", "h"]).select("doc", "item").distinct()
+    low = _shingled(rows, ["doc"]).select("doc", _hash().alias("h")).filter(F.col("h") <= max(p["top"] for p in parts))
+    hits = low.join(_small(sketches.select("h", "item").distinct(), _ROW_BYTES * sum(p["rows"] for p in parts)), "h").select("doc", "item").distinct()
     hits = materialise(hits, "candidates")
-    # verification: what each pair of a document and a candidate item could share, met with the document's whole shingles
-    asked = hits.join(ranked.select("item", "h", "shingle", "n", "need"), "item")
-    asked_size = asked.agg(F.coalesce(F.sum(F.octet_length("shingle") + 2 * _ROW_BYTES), F.lit(0)).alias("b")).first()["b"]
-    wanted = hits.select("doc").distinct()
-    whole = rows.join(_small(wanted, _ROW_BYTES * wanted.count()), "doc", "left_semi")
-    found = _shingled(whole, ["doc"]).select("doc", _hash().alias("h"), _shingle().alias("shingle"))
-    sure = found.join(_small(asked, asked_size), ["doc", "h", "shingle"]).select("doc", "item", "n", "need", "shingle").distinct()
-    sure = sure.groupBy("doc", "item", "n", "need").agg(F.count(F.lit(1)).alias("matched")).filter("matched >= need")
+    # verification: the whole shingles of the candidate documents against those of their own candidate items, and of no others
+    asked = hits.groupBy("doc").agg(F.collect_set("item").alias("asked"))
+    asked_size = hits.agg((F.count(F.lit(1)) * 8 + F.count_distinct("doc") * _ROW_BYTES).alias("b")).first()["b"]
+    items_size = ranked.agg(F.coalesce(F.sum(F.octet_length("shingle") + _ROW_BYTES), F.lit(0)).alias("b")).first()["b"]
+    whole = _shingled(rows.join(_small(asked, asked_size), "doc"), ["doc", "asked"]).select("doc", "asked", _hash().alias("h"), _shingle().alias("shingle"))
+    found = whole.join(_small(ranked.select("h", "shingle", "item", "n", "need"), items_size), ["h", "shingle"]).filter(F.array_contains("asked", F.col("item")))
+    sure = found.select("doc", "item", "n", "need", "shingle").distinct().groupBy("doc", "item", "n", "need").agg(F.count(F.lit(1)).alias("matched")).filter("matched >= need")
     return sure.select(F.col("doc").alias(id_col), F.col("item").alias(item_id_col), F.col("n").alias("item_shingles"), "matched", (F.col("matched") / F.col("n")).alias("containment"))
 
 
