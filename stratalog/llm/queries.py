@@ -117,5 +117,25 @@ GROUP BY doc_id, item_id, n HAVING count(*) >= ceil(n * 0.8 - 1e-9)
 """
 
 
+#: Each turn is "### ", role, ": ", text, " </turn>" and a line end: 15 characters beside role and text. An escape adds one to
+#: each backslash, to each "#" before "##" and to each "<" before "/turn>" of a text, and to each of \ # < : and line end of a role.
+_REPLY_TREES = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+         15 + length(role) + length(regexp_replace(role, '[^\\#<:\n]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\]', '', 'g'))
+         + coalesce(list_sum([length(x) - 2 for x in regexp_extract_all(text, '#{3,}')]), 0) + len(regexp_extract_all(text, '</turn>')) AS chars
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _DECONTAMINATION, "op8_exact_dedup": _EXACT_DEDUP}
+    return {"op1_decontamination": _DECONTAMINATION, "op6_reply_trees": _REPLY_TREES, "op8_exact_dedup": _EXACT_DEDUP}
