@@ -181,8 +181,11 @@ def percentile_bound(buckets: DataFrame, q: float, by: list[str]) -> DataFrame:
 
 
 def export(events: DataFrame, query: LogQuery, path: str, fmt: str = "json") -> None:
-    """The whole selection, newest first, as NDJSON or CSV."""
+    """The whole selection, newest first, as NDJSON (every member, nulls too) or CSV (quotes doubled, blanks kept, a header in each file; null is an empty field, an empty text is "")."""
     if fmt not in ("json", "csv"):
         raise QueryError("json or csv")
     out = events.filter(selection(query)).select(*COLUMNS).orderBy(F.desc("event_time"), F.desc("id"))
-    getattr(out.write.option("header", "true"), fmt)(path)
+    if fmt == "json":
+        out.write.json(path, ignoreNullFields=False)
+    else:
+        out.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)

@@ -2,7 +2,7 @@
 
 A manifest is one JSON file; putting the next version where none is yet is the commit, so readers see a whole version
 or the one before, and directories are never listed to find data. Files go only after no manifest of the last `KEEP`
-versions names them. One writer at a time; a second one loses the race for the version and fails. That needs a store that
+versions, and none that a reader has a lease on, names them. One writer at a time; a second one loses the race for the version and fails. That needs a store that
 can refuse to replace a file; on others an index has to be opened as that of a single writer.
 """
 
@@ -13,7 +13,10 @@ import re
 import time
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from contextlib import contextmanager
+from dataclasses import dataclass, field, fields, replace
+from functools import reduce
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +34,8 @@ PARTITION_MS, KEEP, VERSION = 3_600_000, 2, 4
 COMPACT_FILES, COMPACT_BYTES = 16, 128 << 20
 #: Rows of an archived file, rows that one export moves, and rows of a batch that is expired for size.
 FILE_ROWS, EXPORT_ROWS, SHRINK_ROWS = 5_000_000, 50_000_000, 1_000_000
+#: How long a lease holds if it isn't given back.
+LEASE_MS = 6 * 3_600_000
 #: Stores whose rename never replaces a file, beside the local one.
 EXCLUSIVE = frozenset({"hdfs", "viewfs", "abfs", "abfss"})
 
@@ -53,6 +58,10 @@ class Files:
     def uri(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def name(self, uri: str, escaped: bool = False) -> str:
+        """What `uri` made a full path of, in whatever spelling Spark gives it back."""
+        return (unquote(uri) if escaped else uri).partition(self.fs.makeQualified(self._path("")).toUri().getPath().rstrip("/") + "/")[2]
+
     def names(self, folder: str) -> list[str]:
         p = self._path(folder)
         return sorted(s.getPath().getName() for s in self.fs.listStatus(p)) if self.fs.exists(p) else []
@@ -156,7 +165,9 @@ class Manifest:
         raw = json.loads(text)
         if raw["schema_version"] > VERSION:
             raise QueryError(f"schema version {raw['schema_version']} is newer than {VERSION}")
-        raw |= {"promoted": tuple(raw.get("promoted", ())), "hot": tuple(Part(**p) for p in raw["hot"]), "archives": tuple(Part(**p) for p in raw["archives"]), "schema_version": VERSION}
+        if raw["schema_version"] < VERSION:
+            raise QueryError(f"schema version {raw['schema_version']} is older than {VERSION}: migrate the index")
+        raw |= {"promoted": tuple(raw.get("promoted", ())), "hot": tuple(Part(**p) for p in raw["hot"]), "archives": tuple(Part(**p) for p in raw["archives"])}
         return Manifest(**raw)
 
 
@@ -166,10 +177,31 @@ class Index:
 
     # manifests
 
+    def _versions(self) -> list[str]:
+        return [n for n in self.files.names("manifest") if re.fullmatch(r"\d{12}\.json", n)]
+
     def manifest(self) -> Manifest:
-        names = [n for n in self.files.names("manifest") if re.fullmatch(r"\d{12}\.json", n)]
+        names = self._versions()
         return Manifest.of(self.files.read(f"manifest/{names[-1]}")) if names else Manifest()
 
+    def migrate(self) -> int:
+        """Bring the newest manifest up to this schema in one commit; the schema version that it had.
+
+        Version 2 brought expired_through, 3 the bounds and sizes of files, which are read from the files that lack them,
+        and 4 promoted keys. What rows have in their files never changes. A second call does nothing.
+        """
+        names = self._versions()
+        raw = json.loads(self.files.read(f"manifest/{names[-1]}")) if names else {"schema_version": VERSION}
+        if (had := raw["schema_version"]) >= VERSION:
+            return had
+        raw = {"expired_through": 0, "before_time": None, "promoted": []} | raw
+        tiers = {t: raw.get(t, []) for t in ("hot", "archives")}
+        bounds = {f.name for f in fields(Part)} - {"sha256"}
+        known = {p.path: p for p in self._bounds([p["path"] for ps in tiers.values() for p in ps if not bounds <= {k for k, v in p.items() if v is not None}])}
+        whole = {t: tuple(replace(known[p["path"]], sha256=p.get("sha256")) if p["path"] in known else Part(**p) for p in ps) for t, ps in tiers.items()}
+        self._commit(Manifest(**raw | whole | {"schema_version": VERSION, "promoted": tuple(raw["promoted"])}))
+        return had
+
     def _commit(self, m: Manifest) -> Manifest:
         m = replace(m, version=m.version + 1)
         self.files.create(f"manifest/{m.version:012d}.json", m.text(), self.single_writer)
@@ -218,21 +250,26 @@ class Index:
     # writes
 
     def _stats(self, folder: str, digests: bool = False) -> tuple[Part, ...]:
-        """Bounds of each file that a write has left: one aggregate, a row a file. With the files' digests, if asked."""
-        rows = self.spark.read.schema(EVENT).parquet(self.files.uri(folder)).groupBy(F.col("_metadata.file_path").alias("f"))
+        """Bounds of each file that a write has left, with the files' digests, if asked."""
+        parts = self._bounds([folder])
+        sums = self._digests([p.path for p in parts]) if digests else {}
+        return tuple(replace(p, sha256=sums.get(p.path)) for p in parts)
+
+    def _bounds(self, paths: list[str]) -> list[Part]:
+        """Bounds of the files at these paths or below them: one aggregate, a row a file."""
+        if not paths:
+            return []
+        rows = self.spark.read.schema(EVENT).parquet(*[self.files.uri(p) for p in paths]).groupBy(F.col("_metadata.file_path").alias("f"))
         got = rows.agg(F.count(F.lit(1)).alias("rows"), *[g(c).alias(f"{n}_{k}") for n, g in (("min", F.min), ("max", F.max)) for c, k in (("event_time", "time"), ("id", "id"))]).collect()
-        names = [folder + "/" + r["f"].rpartition(f"{folder}/")[2] for r in got]
-        sums = self._digests(names) if digests else {}
-        parts = (Part(n, r["rows"], r["min_time"], r["max_time"], r["min_id"], r["max_id"], self.files.size(n), sums.get(n)) for n, r in zip(names, got, strict=True))
-        return tuple(sorted(parts, key=lambda p: p.path))
+        named = [(self.files.name(r["f"], escaped=True), r) for r in got]
+        return sorted((Part(n, r["rows"], r["min_time"], r["max_time"], r["min_id"], r["max_id"], self.files.size(n)) for n, r in named), key=lambda p: p.path)
 
     def _digests(self, names: list[str]) -> dict[str, str]:
         """SHA-256 of files by name, computed where the files are; a row a file comes back."""
         if not names:
             return {}
         files = self.spark.read.format("binaryFile").load([self.files.uri(n) for n in names])
-        found = {r["path"]: r["sha256"] for r in files.select("path", F.sha2("content", 256).alias("sha256")).collect()}
-        return {n: next(d for p, d in found.items() if p.endswith("/" + n)) for n in names}
+        return {self.files.name(r["path"]): r["sha256"] for r in files.select("path", F.sha2("content", 256).alias("sha256")).collect()}
 
     def append(self, batch: DataFrame, source: str | None, received_at: int | None = None) -> int:
         """Add normalised events in their order of `position`; ids are contiguous from the manifest's next. The number of rows.
@@ -240,36 +277,52 @@ class Index:
         source None takes that of the events' own column. Events older than what retention has removed since they were
         checked reject the batch.
         """
+        (got,) = self.append_group([(batch, source)], received_at)
+        if isinstance(got, QueryError):
+            raise got
+        return got
+
+    def append_group(self, batches: list[tuple[DataFrame, str | None]], received_at: int | None = None) -> list[int | QueryError]:
+        """Several batches of (events, source) in one commit, in the order given: of each the number of its rows, or why it alone was refused."""
         m = self.manifest()
-        staged = f"tmp/{uuid.uuid4().hex}"
-        ordered = batch.orderBy("position") if "position" in batch.columns else batch
-        ordered.drop("position").withColumn("at_", F.monotonically_increasing_id()).write.parquet(self.files.uri(staged))
-        rows = self.spark.read.parquet(self.files.uri(staged))
-        per = sorted((r["p"], r["n"]) for r in rows.groupBy(F.shiftright("at_", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row a partition
-        if m.before_time is not None and (oldest := rows.agg(F.min("event_time")).first()[0]) is not None and oldest < m.before_time:
-            self.files.delete(staged)
-            raise QueryError(f"an event of {oldest} is older than the retention cutoff {m.before_time}")
-        total, offsets = m.next_id, []
-        for p, n in per:
-            offsets.append((p, total))
-            total += n
+        staged, names = f"tmp/{uuid.uuid4().hex}", [c for c in COLUMNS if c not in ("id", "source", "received_at")]
+
+        def numbered(k: int, batch: DataFrame, source: str | None) -> DataFrame:
+            at = F.col("position") if "position" in batch.columns else F.monotonically_increasing_id()
+            return batch.select(F.lit(k).alias("batch_"), at.cast("bigint").alias("position"), (F.col("source") if source is None else F.lit(source)).alias("source"), *names)
+
+        both = reduce(DataFrame.unionByName, [numbered(k, b, source) for k, (b, source) in enumerate(batches)])
+        both.orderBy("batch_", "position").drop("position").withColumn("at_", F.monotonically_increasing_id()).write.parquet(self.files.uri(staged))
+        rows = self.spark.read.parquet(self.files.uri(staged)).withColumn("p", F.shiftright("at_", 33))
+        # a row for each batch in each partition; there are at most so many as partitions and batches together
+        per = sorted(tuple(r) for r in rows.groupBy("p", "batch_").agg(F.count(F.lit(1)).alias("n"), F.min("event_time").alias("oldest")).collect())
+        refused = {k: QueryError(f"an event of {t} is older than the retention cutoff {m.before_time}") for _, k, _, t in per if m.before_time is not None and t < m.before_time}
+        taken: list[int | QueryError] = [refused.get(k, 0) for k in range(len(batches))]
+        total, offsets, before = m.next_id, [], {}
+        for p, k, n, _ in per:
+            at = before.get(p, 0)
+            before[p] = at + n
+            if k not in refused:
+                offsets.append((p, k, total - at))
+                total += n
+                taken[k] += n
         if total == m.next_id:
             self.files.delete(staged)
-            return 0
-        base = F.broadcast(self.spark.createDataFrame(offsets, "p long, base long"))
+            return taken
+        base = F.broadcast(self.spark.createDataFrame(offsets, "p long, batch_ int, base long"))
         now = int(time.time() * 1000) if received_at is None else received_at
-        ids = rows.withColumn("p", F.shiftright("at_", 33)).join(base, "p").withColumn("id", F.col("base") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)))
-        full = ids.withColumns({"source": F.col("source") if source is None else F.lit(source), "received_at": long(now)}).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENT.fields])
+        ids = rows.join(base, ["p", "batch_"]).withColumn("id", F.col("base") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)))
+        full = ids.withColumn("received_at", long(now)).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENT.fields])
         if m.promoted:
             full = full.withColumns(promoted_columns(m.promoted))
         folder = f"log/{m.version + 1:012d}-{uuid.uuid4().hex}"
         full.write.option("compression", "zstd").parquet(self.files.uri(folder))
         parts = self._stats(folder)
         if sum(p.rows for p in parts) != total - m.next_id:
-            raise Conflict("the batch wasn't written whole")
+            raise Conflict("the batches weren't written whole")
         self._commit(replace(m, next_id=total, hot=(*m.hot, *parts)))
         self.files.delete(staged)
-        return total - m.next_id
+        return taken
 
     def append_in_batches(self, events: DataFrame, source: str, batch_rows: int = EXPORT_ROWS, received_at: int | None = None) -> int:
         """History of any length, committed batch by batch in the order of `position`: what was committed stays if a later batch fails."""
@@ -409,15 +462,50 @@ class Index:
 
     # upkeep
 
+    @contextmanager
+    def reading(self, ms: int = LEASE_MS) -> Iterator[Manifest]:
+        """The newest manifest, whose files stay while the block runs, or at most so long if its process is lost."""
+        lease = f"leases/{uuid.uuid4().hex}.json"
+        try:
+            while True:
+                m = self.manifest()
+                self.files.put(lease, json.dumps({"version": m.version, "until": int(time.time() * 1000) + ms}))
+                if m.version == 0 or self.files.exists(f"manifest/{m.version:012d}.json"):
+                    break  # else it went before the lease was there to be seen
+            yield m
+        finally:
+            self.files.delete(lease)
+
+    def _leased(self) -> set[int]:
+        """Versions that readers hold. Leases that have run out go."""
+        held = set()
+        for n in self.files.names("leases"):
+            try:
+                lease = json.loads(self.files.read(f"leases/{n}") or "{}")
+            except Py4JJavaError:  # given back meanwhile
+                continue
+            if lease.get("until", 0) > time.time() * 1000:
+                held.add(lease["version"])
+            elif lease:  # one without text is just being written
+                self.files.delete(f"leases/{n}")
+        return held
+
     def vacuum(self) -> int:
-        """Delete data that none of the last manifests names."""
-        names = [n for n in self.files.names("manifest") if n.endswith(".json")]
-        live = {p.path for n in names[-KEEP:] for m in [Manifest.of(self.files.read(f"manifest/{n}"))] for p in (*m.hot, *m.archives)}
+        """Delete data that neither the last manifests nor leased ones name. The number of files."""
+        names = self._versions()
+        held = self._leased()
+        known = {n: self.files.read(f"manifest/{n}") for n in names}
+        old = [n for n in names[:-KEEP] if int(n[:12]) not in held]
+        for n in old:
+            self.files.delete(f"manifest/{n}")
+        for n in old:  # leased while it went
+            if int(n[:12]) in self._leased():
+                self.files.create(f"manifest/{n}", known[n], self.single_writer)
+                old = [x for x in old if x != n]
+        live = {p["path"] for n in names if n not in old for m in [json.loads(known[n])] for t in ("hot", "archives") for p in m.get(t, [])}
         dead = [n for f in ("log", "hot", "archive", "tmp") for n, _ in self.files.sizes(f) if n not in live and n.endswith(".parquet")]
         for n in dead:
             self.files.delete(n)
-        for n in names[:-KEEP]:
-            self.files.delete(f"manifest/{n}")
         return len(dead)
 
     def verify(self) -> int:
@@ -433,7 +521,8 @@ class Index:
         return len(m.hot) + len(m.archives)
 
     def recover(self) -> int:
-        """At open: the data is verified; what no manifest names goes."""
+        """At open: an older schema is migrated, the data verified; what no manifest names goes."""
+        self.migrate()
         self.verify()
         return self.vacuum()
 
@@ -448,7 +537,7 @@ class Index:
         out: dict[str, int] = {}
         for name, size in self.files.sizes():
             top = name.partition("/")[0]
-            kind = {"log": "hot", "hot": "hot", "archive": "archives", "manifest": "manifests", "tmp": "temp"}.get(top, "other")
+            kind = {"log": "hot", "hot": "hot", "archive": "archives", "manifest": "manifests", "tmp": "temp", "leases": "leases"}.get(top, "other")
             out[kind] = out.get(kind, 0) + size
         return out
 

@@ -1,0 +1,245 @@
+import csv
+import json
+import threading
+
+import pytest
+from pyspark.sql import functions as F
+
+from stratalog.operators import ops, responses, store, upkeep
+from stratalog.operators.store import Conflict, Index
+from stratalog.plans import cursor
+from stratalog.plans.query import LogQuery, QueryError
+from stratalog.sources import ingest
+from stratalog.streaming import tail
+
+from .test_engine import NOW, greenhouse, take
+
+
+def batch(spark, path, events):
+    path.write_text("\n".join(json.dumps(e) for e in events))
+    return ingest.accept(ingest.project(ingest.read_lines(spark, str(path))), ingest.reject_reason())
+
+
+def test_batches_share_a_commit_and_keep_their_order(spark, tmp_path):
+    index, events = Index(spark, f"file://{tmp_path}/i"), list(greenhouse(17))
+    young = [{**e, "time": NOW + k} for k, e in enumerate(events)]
+    parts = [young[:5], [], young[5:6], events[6:9], young[9:]]
+    index.retain(NOW)
+    frames = [(batch(spark, tmp_path / f"b{k}", p), f"s{k}") for k, p in enumerate(parts)]
+    version = index.manifest().version
+    got = index.append_group(frames, received_at=NOW)
+    assert [g for g in got if isinstance(g, int)] == [5, 0, 1, 8] and isinstance(got[3], QueryError) and "cutoff" in str(got[3])
+    assert index.manifest().version == version + 1 and index.manifest().next_id == 15
+    rows = index.read().orderBy("id").collect()
+    want = [(k, e["n"]) for k, p in enumerate(parts) if k != 3 for e in p]
+    assert [(int(r["source"][1:]), json.loads(r["attributes"])["n"]) for r in rows] == want and [r["id"] for r in rows] == list(range(1, 15))
+    assert index.append_group([frames[1], frames[3]], received_at=NOW)[0] == 0 and index.manifest().version == version + 1
+
+
+def test_a_writer_of_many_threads(spark, tmp_path):
+    index, events = Index(spark, f"file://{tmp_path}/i"), list(greenhouse(12))
+    frames = [batch(spark, tmp_path / f"b{k}", events[k : k + 1]) for k in range(12)]
+    first, ready = threading.Event(), threading.Event()
+    seen = []
+
+    def slow(i):
+        ready.set()
+        first.wait(60)
+
+    with upkeep.Writer(index, most=5) as writer:
+        writer.run(slow)
+        ready.wait(60)
+        answers = [writer.append(f, "s") for f in frames[:7]]
+        gone = writer.append(frames[0], "never")
+        assert gone.cancel()
+        step = writer.run(lambda i: seen.append(i.manifest().next_id) or "done")
+        bad = writer.run(lambda i: 1 // 0)
+        later = [writer.append(f, "s") for f in frames[7:]]
+        first.set()
+        assert [a.result(120) for a in answers + later] == [1] * 12 and step.result() == "done"
+        with pytest.raises(ZeroDivisionError):
+            bad.result()
+    assert seen == [8] and index.manifest().version == 3  # five, two, and five after the steps
+    assert [json.loads(r["attributes"])["n"] for r in index.read().orderBy("id").collect()] == [e["n"] for e in events]
+    with pytest.raises(RuntimeError):
+        writer.append(frames[0], "s")
+
+
+def test_a_lost_commit_tells_all_of_its_group(spark, tmp_path):
+    index, events = Index(spark, f"file://{tmp_path}/i"), list(greenhouse(2))
+    m = index.manifest()
+    index._commit(m)
+    stale = Index(spark, f"file://{tmp_path}/i")
+    stale.manifest = lambda: m
+    with upkeep.Writer(stale) as writer:
+        answers = [writer.append(batch(spark, tmp_path / f"b{k}", events[k : k + 1]), "s") for k in range(2)]
+        for a in answers:
+            with pytest.raises(Conflict):
+                a.result(120)
+    assert index.count(LogQuery()).first()[0] == 0
+
+
+def test_files_stay_while_a_reader_holds_them(spark, tmp_path):
+    index, events = Index(spark, f"file://{tmp_path}/i"), list(greenhouse(10))
+    take(spark, tmp_path / "a", events, index)
+    with index.reading() as m:
+        rows = index.read(m=m)
+        index.archive(NOW + 1)
+        for k in range(4):
+            index.retain(k + 1)
+            index.vacuum()
+        assert rows.count() == 10 and all(index.files.exists(p.path) for p in m.hot)
+        with index.reading(ms=-1) as late:  # has run out at once
+            index.retain(NOW + 1)
+            for k in range(4):
+                index.retain(NOW + 2 + k)
+            index.vacuum()
+            assert not any(index.files.exists(p.path) for p in late.archives) and late.archives
+        assert rows.count() == 10
+    assert index.files.names("leases") == [] and index.vacuum() > 0
+    assert not any(index.files.exists(p.path) for p in m.hot)
+    with Index(spark, f"file://{tmp_path}/none").reading() as nothing:
+        assert nothing.version == 0
+
+
+def test_a_manifest_that_went_before_its_lease_was_there(spark, tmp_path, monkeypatch):
+    index = Index(spark, f"file://{tmp_path}/i")
+    take(spark, tmp_path / "a", list(greenhouse(3)), index)
+    put, old = index.files.put, index.manifest()
+
+    def late(name, text):
+        if index.manifest().version == old.version:
+            index.archive(NOW + 1)
+            index.retain(1)
+            index.retain(2)
+            index.vacuum()
+        put(name, text)
+
+    monkeypatch.setattr(index.files, "put", late)
+    with index.reading() as m:
+        assert m.version > old.version and index.read(m=m).count() == 3
+
+
+def test_older_manifests_are_migrated(spark, tmp_path):
+    index, events = Index(spark, f"file://{tmp_path}/i"), list(greenhouse(9))
+    take(spark, tmp_path / "a", events[:4], index)
+    index.archive(NOW + 1)
+    take(spark, tmp_path / "b", events[4:], index)
+    now = index.manifest()
+    for had, without, plain in ((1, {"expired_through", "promoted"}, {"path", "rows"}), (2, {"promoted"}, {"path", "rows", "min_time", "max_time"}), (3, {"promoted"}, None), (4, set(), None)):
+        m = index.manifest()
+        raw = {k: v for k, v in json.loads(m.text()).items() if k not in without} | {"schema_version": had, "version": m.version + 1}
+        for tier in ("hot", "archives"):
+            raw[tier] = [{k: v for k, v in p.items() if plain is None or k in plain} for p in raw[tier]]
+        index.files.create(f"manifest/{m.version + 1:012d}.json", json.dumps(raw))
+        if had < 4:
+            with pytest.raises(QueryError, match="migrate"):
+                index.manifest()
+        assert index.migrate() == had and index.migrate() == store.VERSION
+        new = index.manifest()
+        strip = lambda ps: sorted((p.path, p.rows, p.min_time, p.max_time, p.min_id, p.max_id, p.bytes) for p in ps)
+        assert strip(new.hot) == strip(now.hot) and strip(new.archives) == strip(now.archives) and (new.next_id, new.promoted, new.expired_through) == (10, (), 0)
+    assert index.count(LogQuery()).first()[0] == 9 and index.recover() >= 0
+    index.files.create("manifest/000000000099.json", json.dumps({"schema_version": 5}))
+    with pytest.raises(QueryError, match="newer"):
+        index.manifest()
+
+
+def test_maintenance_waits_longer_after_each_failure():
+    assert [upkeep.pause(60, k) for k in range(6)] == [60, 120, 240, 480, 900, 900] and upkeep.pause(0.1, 1) == 2 and upkeep.pause(60, 10**9) == 900
+
+    class Flaky:
+        outcomes = iter([None, OSError("a"), OSError("b"), QueryError("full"), None])
+
+        def maintain(self, now, size=None):
+            assert (now, size) == (7, 5)
+            if (e := next(self.outcomes)) is not None:
+                raise e
+
+    stop, pauses = threading.Event(), []
+
+    def wait(seconds):
+        pauses.append(seconds)
+        return len(pauses) == 5
+
+    assert upkeep.keep_up(Flaky(), stop, lambda: 7, 60.0, wait=wait, size=5) == 2 and pauses == [60, 120, 240, 60, 60]
+    stop.set()
+    assert upkeep.keep_up(Flaky(), stop, lambda: 7) == 0
+
+
+def test_a_pass_of_maintenance(spark, tmp_path):
+    index, events = Index(spark, f"file://{tmp_path}/i"), list(greenhouse(20))
+    for k in range(2):
+        take(spark, tmp_path / f"a{k}", events[10 * k : 10 * k + 10], index)
+    span = 40 * 61_000
+    kept = sorted(e["n"] for e in events if e["time"] >= NOW - span)
+    done = index.maintain(NOW, retention_ms=span, size=1 << 40, archive_after_ms=30 * 61_000)
+    old = sum(NOW - span <= e["time"] < NOW - 30 * 61_000 for e in events)
+    assert done["retained"] == 20 - len(kept) and done["archived"] >= old and done["shrunk"] == 0
+    assert sorted(json.loads(r["attributes"])["n"] for r in index.read().collect()) == kept
+    assert index.maintain(NOW, size=0)["shrunk"] > 0 and index.read().count() == 0
+
+
+def test_pages_of_bounded_bytes(spark, tmp_path):
+    index, events = Index(spark, f"file://{tmp_path}/i"), list(greenhouse(9))
+    take(spark, tmp_path / "a", events, index)
+    q, token, seen = LogQuery(), cursor.encode_tail(LogQuery(), 0), []
+    sizes = {r["id"]: r["n"] for r in index.read().select("id", F.octet_length(F.to_json(F.struct(*index.read().columns))).alias("n")).collect()}
+    most = 2 * max(sizes.values())
+    while len(seen) < 9:
+        rows, token = tail.resume(index, q, token, max_bytes=most)
+        assert rows and sum(sizes[r["id"]] for r in rows) <= most
+        seen += [r["id"] for r in rows]
+    assert seen == list(range(1, 10)) and tail.resume(index, q, token, max_bytes=most)[0] == []
+    with pytest.raises(Exception, match="exceeds"):
+        tail.resume(index, q, cursor.encode_tail(q, 0), max_bytes=10)
+
+
+def test_answers_as_json_and_tables(spark, tmp_path):
+    index, events = Index(spark, f"file://{tmp_path}/i"), list(greenhouse(12))
+    take(spark, tmp_path / "a", events, index)
+    q = LogQuery(NOW - 60 * 61_000, NOW, limit=5)
+    page = index.search(q)
+    doc = json.loads(responses.page_json(page))
+    assert set(doc) == {"events", "next_cursor"} and len(doc["events"]) == 5 and doc["next_cursor"] == page.next_cursor
+    for e, r in zip(doc["events"], page.events, strict=True):
+        assert e["id"] == str(r["id"]) and e["attributes"] == json.loads(r["attributes"]) and e["event_time"] == r["event_time"]
+    assert json.loads(responses.count_json(index.count(q))) == {"count": 12}
+    facets = json.loads(responses.facets_json(index.facets(q)))
+    assert list(facets) == ["services", "loggers", "hosts", "levels", "sources"] and facets["sources"] == [{"value": "demo", "count": 12}]
+    assert [f["count"] for f in facets["levels"]] == sorted((f["count"] for f in facets["levels"]), reverse=True)
+    buckets = json.loads(responses.histogram_json(index.histogram(q, 600_000)))["buckets"]
+    assert sum(b["count"] for b in buckets) == 12 and [b["time"] for b in buckets] == sorted(b["time"] for b in buckets)
+    lines = responses.page_table(page).splitlines()
+    assert lines[0].split() == ["time", "level", "service", "host", "message"] and len(lines) == 7 and lines[-1] == f"next: {page.next_cursor}"
+    assert responses.table(["a", "b"], [("\x1b[31mx\ny", None), ("日本", 5)]) == "a        b\n[31mx y\n日本     5\n"
+
+
+def test_exports_give_all_rows_in_order(spark, tmp_path):
+    index, events = Index(spark, f"file://{tmp_path}/i"), [{**e, "msg": f' {e["msg"]} "q", \\ \n line '} for e in greenhouse(12)]
+    take(spark, tmp_path / "a", events, index)
+    want = [(r["id"], r["message"]) for r in index.read().orderBy(F.desc("event_time"), F.desc("id")).collect()]
+    for fmt in ("json", "csv"):
+        ops.export(index.read(), LogQuery(), f"file://{tmp_path}/{fmt}", fmt)
+        got = []
+        for path in sorted((tmp_path / fmt).glob("part-*")):
+            with path.open(newline="") as f:
+                rows = (json.loads(line) for line in f) if fmt == "json" else csv.DictReader(f)
+                got += [(int(r["id"]), r["message"]) for r in rows]
+        assert got == want, fmt
+    with pytest.raises(QueryError):
+        ops.export(index.read(), LogQuery(), f"file://{tmp_path}/x", "xml")
+
+
+def test_running_histogram(spark, tmp_path):
+    hour = 3_600_000
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema("event_time long, level int").json(f"file://{tmp_path}/in")
+    (tmp_path / "in" / "1.json").write_text("\n".join(json.dumps({"event_time": NOW + t, "level": v}) for t, v in ((0, 30), (1, 30), (hour, 50), (5 * hour, 30))))
+    run = lambda: tail.windowed_counts(source).writeStream.outputMode("append").format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(120)
+    run()
+    (tmp_path / "in" / "2.json").write_text(json.dumps({"event_time": NOW + 2, "level": 30}))  # later than the watermark
+    run()
+    got = {(int(r["window"]["start"].timestamp() * 1000), r["level"]): r["count"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    start = lambda t: t - t % hour
+    assert got == {(start(NOW), 30): 2, (start(NOW + hour), 50): 1}
