@@ -2,7 +2,7 @@
 
 Messages form trees by their parents. Paths from a root are enumerated by self-joins that double their reach each round:
 after round k a message knows its ancestor 2^k replies up and the score of the stretch between, so a tree of depth d takes
-log d rounds. Each leaf ends a branch; branches rank by score, and the chosen branch is marked by walking the same
+log d rounds of one join and one table each. Each leaf ends a branch; branches rank by score, and the chosen branch is marked by walking the same
 doubled links back down. Only then are the texts fetched and each chosen path formatted as one conversation.
 """
 
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import done_with, materialise, text_of
 
 #: The template: each turn is HEAD, role, ": ", text, TAIL, line end.
 HEAD, TAIL = "### ", " </turn>"
@@ -72,45 +72,38 @@ def chosen_paths(nodes: DataFrame, rounds: int = 40) -> DataFrame:
     nodes = materialise(nodes.select("tree", "node", "parent", "score"), "nodes")
     there = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     linked = nodes.join(there, (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("n")), "left")
-    links = [materialise(linked.select("tree", "node", F.col("n").alias("up"), F.when(F.col("n").isNotNull(), F.col("score")).alias("sum")), "links")]
-    # done: messages that have reached their root, with the score and length of the whole path
-    done = links[0].filter("up IS NULL").join(nodes, ["tree", "node"]).select("tree", "node", F.col("score").alias("total"), F.lit(1).cast("bigint").alias("length"))
-    done = [materialise(done, "paths")]
-    open_ = links[0].filter("up IS NOT NULL").select("tree", "node", "up", "sum")
-    steps = [materialise(open_, "steps")]
-    while steps[-1].limit(1).count():
-        if len(steps) > rounds:
-            raise RuntimeError("trees deeper than 2^40")
-        k = len(steps) - 1
-        reached = materialise(_union(done), "reached") if k == 0 else reached
-        up = reached.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("total").alias("more"), "length")
-        now = steps[-1].join(up, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")))
-        ended = materialise(now.select("tree", "node", (F.col("sum") + F.col("more")).alias("total"), (F.col("length") + (1 << k)).alias("length")), "paths")
-        new = ended.join(reached.select("tree", "node"), ["tree", "node"], "left_anti")
-        far = steps[-1].select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("far"), F.col("sum").alias("more"))
-        longer = steps[-1].join(far, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n"))).select("tree", "node", F.col("far").alias("up"), (F.col("sum") + F.col("more")).alias("sum"))
-        steps.append(materialise(longer, "steps"))
-        reached = materialise(reached.unionByName(new), "reached")
-        if k > 0 and not ended.limit(1).count() and steps[-1].count() == steps[-2].count():
-            break  # only circles are left
-    else:
-        reached = reached if len(steps) > 1 else done[0]
+    # a round's table says of each message what message its stretch ends before (null: it reaches the root), and the stretch's score and length
+    reach = [materialise(linked.select("tree", "node", F.col("n").alias("up"), F.col("score").alias("total"), F.lit(1).cast("bigint").alias("length")), "reach")]
+    still_open = _open(reach[0]).count()
+    while still_open:
+        if len(reach) > rounds:
+            raise RuntimeError(f"trees deeper than 2^{rounds}")
+        last = reach[-1]
+        far = last.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("length").alias("longer"))
+        doubled = _open(last).join(far, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")))
+        grown = doubled.select("tree", "node", F.col("far").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("length") + F.col("longer")).alias("length"))
+        reach.append(materialise(grown.unionByName(last.filter("up IS NULL")), "reach"))
+        now_open = _open(reach[-1]).count()
+        if now_open == still_open:
+            break  # of what a tree has open, the uppermost half always ends, so only circles are left
+        still_open = now_open
     parents = nodes.select("tree", F.col("parent").alias("node")).distinct()
-    leaves = reached.join(parents, ["tree", "node"], "left_anti")
+    leaves = reach[-1].filter("up IS NULL").join(parents, ["tree", "node"], "left_anti")
     best = leaves.groupBy("tree").agg(F.max(F.struct("total", "length", (-F.col("node")).alias("last"))).alias("b"))
     path = materialise(best.select("tree", (-F.col("b.last")).alias("node"), F.lit(0).cast("bigint").alias("place"), F.col("b.total").alias("branch_score")), "path")
-    for k in reversed(range(len(steps))):
-        step = steps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+    for k in reversed(range(len(reach))):
+        step = _open(reach[k]).select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         more = path.join(step, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n"))).select("tree", F.col("up").alias("node"), (F.col("place") + (1 << k)).alias("place"), "branch_score")
-        path = materialise(path.unionByName(more), "path")
+        longer, shorter = materialise(path.unionByName(more), "path"), path
+        path = longer
+        done_with(shorter)
+        done_with(reach[k])
+    done_with(nodes)
     return path
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _open(reach: DataFrame) -> DataFrame:
+    return reach.filter("up IS NOT NULL")
 
 
 def reply_chains(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
