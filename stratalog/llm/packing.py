@@ -135,13 +135,15 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id
     return docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text")).mapInPandas(work, PIECE)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = ("id", "piece"), length: str = "length", buckets: int = 256) -> tuple[DataFrame, int]:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = ("id", "piece"), length: str = "length", bucket_rows: int = 250_000) -> tuple[DataFrame, int]:
     """pieces (which is read twice; give a written table) with sequence_id and offset, and the number of sequences.
 
     Lengths lie from 1 to capacity; others raise an error in the task that meets them. Ties go by the keys, rows with
-    equal keys being dealt in any order, each to a place of its own. An empty table gives no sequences.
+    equal keys being dealt in any order, each to a place of its own. An empty table gives no sequences. Pieces of one length
+    are numbered in buckets, of which there are enough that even if all have that length a bucket gets about bucket_rows.
     """
     spark = pieces.sparkSession
+    buckets = max(256, -(-pieces.count() // bucket_rows))
     checked = F.when(F.col(length).between(1, capacity), F.col(length)).otherwise(F.raise_error(F.concat(F.lit("no sequence takes a piece of length "), F.coalesce(F.col(length).cast("string"), F.lit("null")))))
     rows = pieces.withColumn("len_", checked.cast("bigint")).withColumn("bucket_", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
     counts = materialise(rows.groupBy("len_", "bucket_").agg(F.count(F.lit(1)).alias("n")), "lengths")
