@@ -55,10 +55,14 @@ def errors_allowed(term: str, stem: bool, in_stem: int = 0) -> int:
 
 
 class LexiconAutomaton:
-    """match(word) -> (term number, errors) of the best term, or None. Terms are words, or stems that any ending may follow; a stem takes stem_errors errors."""
+    """match(word) -> (term number, errors) of the best term, or None. Terms are words, or stems that any ending may follow; a stem takes stem_errors errors.
 
-    def __init__(self, terms: list[tuple[str, bool]], memo: int = 200_000, stem_errors: int = 0):
-        self.terms, self.limit, self.stem_errors = terms, memo, stem_errors
+    States are made as words ask for them. When their sets hold more than `pairs` pairs, all are dropped and made anew as
+    they are asked for, so memory is bounded however many words a task sees.
+    """
+
+    def __init__(self, terms: list[tuple[str, bool]], memo: int = 200_000, stem_errors: int = 0, pairs: int = 2_000_000):
+        self.terms, self.limit, self.stem_errors, self.pairs = terms, memo, stem_errors, pairs
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         self.budget: list[int] = [0]  # the most errors that a term below the node allows
@@ -74,6 +78,10 @@ class LexiconAutomaton:
                 at = self.children[at][c]
                 self.budget[at] = max(self.budget[at], allowed)
             self.ends[at].append(k)
+        self._begin()
+
+    def _begin(self) -> None:
+        self.held = 0
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.step: list[dict[str, int]] = []
@@ -101,6 +109,7 @@ class LexiconAutomaton:
             stems = [(e, k) for e, k in hits if self.terms[k][1]]
             self.states[closed] = len(self.sets)
             self.sets.append(closed)
+            self.held += len(closed) + 1
             self.step.append({})
             self.found.append(min(hits, key=lambda x: (x[0], self.terms[x[1]][1], x[1]))[::-1] if hits else None)
             self.stem.append(min(stems)[::-1] if stems else None)
@@ -120,6 +129,8 @@ class LexiconAutomaton:
         return to
 
     def match(self, word: str) -> tuple[int, int] | None:
+        if self.held > self.pairs:
+            self._begin()
         state, stem = self.start, None
         for c in word:
             steps = self.step[state]

@@ -40,6 +40,20 @@ def test_stems_and_short_terms_take_an_error():
     assert a.match("axhlixhkeit") == (1, 2) and a.match("achlichzu") == (0, 0)
 
 
+def test_dropped_states_change_no_match():
+    r = random.Random(12)
+    letters = "abcde"
+    word = lambda: "".join(r.choice(letters) for _ in range(r.randint(1, 12)))
+    terms = [(word(), r.random() < 0.3) for _ in range(60)]
+    roomy, tight = toxicity.LexiconAutomaton(terms, stem_errors=1), toxicity.LexiconAutomaton(terms, stem_errors=1, pairs=500)
+    most = 0
+    for _ in range(3000):
+        w = word()
+        assert roomy.match(w) == tight.match(w), w
+        most = max(most, len(tight.sets))
+    assert most < len(roomy.sets) and tight.held < roomy.held
+
+
 def families(spark, n=800):
     """Toxic documents hold compounds of one family, each rarely; some are near an ordinary word."""
     r = random.Random(7)
