@@ -99,8 +99,18 @@ def _forward(m: Model, X: np.ndarray, starts: np.ndarray):
     return sizes, t, g, a, z, _sigmoid(z @ m.c + m.b)
 
 
+def gradients(m: Model, X: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean logistic loss of bags, by parameter."""
+    sizes, t, g, a, z, p = _forward(m, X, starts)
+    dl = (p - y) / len(y)
+    da = np.einsum("ij,ij->i", X, np.repeat(dl[:, None] * m.c, sizes, 0))
+    ds = a * (da - np.repeat(np.add.reduceat(a * da, starts), sizes))
+    dt, dg = ds[:, None] * (m.w * g * (1 - t * t)), ds[:, None] * (m.w * t * g * (1 - g))
+    return {"V": X.T @ dt, "U": X.T @ dg, "w": (t * g).T @ ds, "c": z.T @ dl, "b": dl.sum()}
+
+
 def fit(bags: list[np.ndarray], y: np.ndarray, hidden: int = 16, epochs: int = 200, rate: float = 0.02, decay: float = 1e-3, seed: int = 7) -> Model:
-    """Adam on the mean logistic loss of bags, both classes weighing alike by half; deterministic."""
+    """Adam on the mean logistic loss of bags, with weight decay on all but the bias; deterministic."""
     H = np.concatenate(bags).astype(np.float64)
     starts = np.concatenate(([0], np.cumsum([len(b) for b in bags])[:-1])).astype(np.int64)
     d, rng = H.shape[1], np.random.default_rng(seed)
@@ -110,13 +120,9 @@ def fit(bags: list[np.ndarray], y: np.ndarray, hidden: int = 16, epochs: int = 2
     names = ("V", "U", "w", "c", "b")
     first, second = ({k: np.zeros_like(getattr(m, k)) for k in names} for _ in range(2))
     for step in range(1, epochs + 1):
-        sizes, t, g, a, z, p = _forward(m, X, starts)
-        dl = (p - y) / len(y)
-        dz = dl[:, None] * m.c
-        da = np.einsum("ij,ij->i", X, np.repeat(dz, sizes, 0))
-        ds = a * (da - np.repeat(np.add.reduceat(a * da, starts), sizes))
-        dt, dg = ds[:, None] * (m.w * g * (1 - t * t)), ds[:, None] * (m.w * t * g * (1 - g))
-        grads = {"V": X.T @ dt + decay * m.V, "U": X.T @ dg + decay * m.U, "w": (t * g).T @ ds + decay * m.w, "c": z.T @ dl + decay * m.c, "b": dl.sum()}
+        grads = gradients(m, X, starts, y)
+        for k in names[:-1]:
+            grads[k] += decay * getattr(m, k)
         for k in names:
             first[k] = 0.9 * first[k] + 0.1 * grads[k]
             second[k] = 0.999 * second[k] + 0.001 * grads[k] ** 2

@@ -73,7 +73,29 @@ def test_held_out_rows_teach_nothing(spark):
     assert quality.learn(d.select("doc_id", "text"), d.select("doc_id", d["y"].alias("quality"))) is None
 
 
-def test_attention_gradients_and_held_out_accuracy(spark, sf):
+def test_attention_gradients_against_differences():
+    rng = np.random.default_rng(5)
+    X, starts, y = rng.normal(size=(11, 6)), np.array([0, 1, 4, 9]), np.array([1.0, 0.0, 1.0, 0.0])
+    m = quality.Model(np.zeros(6), np.ones(6), rng.normal(size=(6, 3)), rng.normal(size=(6, 3)), rng.normal(size=3), rng.normal(size=6), 0.3)
+
+    def loss():
+        p = quality._forward(m, X, starts)[-1]
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    for name, got in quality.gradients(m, X, starts, y).items():
+        value = np.array(getattr(m, name), float)
+        for at in np.ndindex(value.shape):
+            sides = []
+            for step in (1e-5, -1e-5):
+                moved = value.copy()
+                moved[at] += step
+                setattr(m, name, moved if moved.shape else float(moved))
+                sides.append(loss())
+            setattr(m, name, value if value.shape else float(value))
+            assert abs((sides[0] - sides[1]) / 2e-5 - np.asarray(got)[at]) < 1e-7, (name, at)
+
+
+def test_held_out_accuracy_of_quality(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     model = quality.learn(docs, labels)
     got = quality.score(docs, model).join(labels, "doc_id").collect()
