@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stratalog.functions.attributes import as_integer, coverage_holds, parsed, promoted_columns
 from stratalog.operators import ops
 from stratalog.operators.predicates import long
-from stratalog.operators.store import Index, Manifest, Part
+from stratalog.operators.store import Index, planned_compactions
 from stratalog.plans.cursor import Position
 from stratalog.plans.query import LogQuery, nice_interval, parse_filter
 from stratalog.schema import FACETS
@@ -369,11 +369,9 @@ def import_pino_projection(spark, d):
 
 @_query("WITH f AS (SELECT o_custkey AS part, o_orderkey AS path, cast(floor(o_totalprice) AS BIGINT) AS bytes FROM orders), r AS (SELECT *, row_number() OVER w AS n, sum(bytes) OVER w AS total FROM f WINDOW w AS (PARTITION BY part ORDER BY bytes, path)) SELECT part, count(*) AS files, max(total)::BIGINT AS bytes FROM r WHERE n <= 16 AND total <= 500000 GROUP BY part HAVING count(*) >= 2", "z AS (SELECT 1)")
 def compaction_candidates(spark, d):
-    """The plan for a manifest whose files are the orders, a customer being a partition of time. A manifest is driver state."""
-    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderkey", F.floor("o_totalprice").cast("bigint").alias("bytes")).collect()
-    manifest = Manifest(archives=tuple(Part(f"{r['o_orderkey']:012d}", 1, r["o_custkey"] * HOUR, r["o_custkey"] * HOUR, 1, 1, r["bytes"]) for r in orders))
-    plans = Index(spark, f"{shared_dir(spark)}/stratalog-index-{uuid.uuid4().hex}").compaction_plans(manifest, size=500_000)
-    return spark.createDataFrame([(start // HOUR, len(p), sum(x.bytes for x in p)) for start, p in plans], "part long, files long, bytes long")
+    """The plan for a listing whose files are the orders, a customer being a partition of time."""
+    files = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("part"), F.col("o_orderkey").alias("path"), F.floor("o_totalprice").cast("bigint").alias("bytes"))
+    return planned_compactions(files, size=500_000).groupBy("part").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
 
 
 @_query(f"SELECT count(*) AS rows, max(id) AS last, sum(event_time)::BIGINT AS times FROM s WHERE event_time < {T0 + 20 * DAY}", _STORED)
