@@ -13,7 +13,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,8 @@ from .common import materialise, text_of
 from .tokens import encoder
 
 CAPACITY = 2048
+#: So many bytes of text are tokenised and handed on at once.
+PORTION = 1 << 20
 
 
 class CapacityTree:
@@ -112,27 +115,35 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 PIECE = T.StructType(
     [T.StructField("id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())]
 )
+_ARROW = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids) with ids as little-endian unsigned 32-bit integers; each document ends with end_id. Null texts are empty."""
     end = int(end_id).to_bytes(4, "little")
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(kind, tokenizer)
-        for b in batches:
-            parts: list[tuple] = []
-            held = 0
-            for i, ids in zip(b["id"], enc.encode(b["text"].tolist()), strict=True):
+        for part in portions(batches, "text"):
+            rows: list[tuple] = []
+            for i, ids in zip(part["id"].to_pylist(), enc.encode(part["text"].to_pylist()), strict=True):
                 ids += end
-                parts += [(i, k, s, n, ids[4 * s : 4 * (s + n)]) for k, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
-                held += len(ids)
-                if held > 4_000_000:
-                    yield pd.DataFrame(parts, columns=["id", "piece", "start", "length", "ids"]).astype({"id": b["id"].dtype})
-                    parts, held = [], 0
-            yield pd.DataFrame(parts, columns=["id", "piece", "start", "length", "ids"]).astype({"id": b["id"].dtype})
-
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text")).mapInPandas(work, PIECE)
+                rows += [(i, k, s, n, ids[4 * s : 4 * (s + n)]) for k, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
+            columns = zip(*rows, strict=True)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _ARROW, strict=True)], names=PIECE.names)
+
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text")).mapInArrow(work, PIECE)
+
+
+def portions(batches: Iterator[pa.RecordBatch], column: str, size: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in runs of at most so many bytes in the column, or of one row that has more: what is made of a run is all that a worker holds beside the batch."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b[column]).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, size + (ends[lo - 1] if lo else 0), side="right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = ("id", "piece"), length: str = "length", bucket_rows: int = 250_000) -> tuple[DataFrame, int]:

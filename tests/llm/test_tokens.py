@@ -165,3 +165,16 @@ def test_sstable_lookup(tmp_path):
     (tmp_path / "b.sst").write_bytes(damaged)
     with pytest.raises(ValueError, match="damaged"):
         list(sstable.Reader(open(tmp_path / "b.sst", "rb")))
+
+
+def test_a_worker_tokenises_by_portions(spark):
+    import pyarrow as pa
+
+    texts = ["é" * 40, "a" * 300, "", "b" * 99, "c", "d" * 30]
+    batch = pa.record_batch([pa.array(range(6), pa.int64()), pa.array(texts)], names=["id", "text"])
+    got = list(packing.portions(iter([batch, batch.slice(0, 0), batch.slice(3)]), "text", 100))
+    assert [p["id"].to_pylist() for p in got] == [[0], [1], [2, 3, 4], [5], [3, 4], [5]]
+    # with a null id beside them, ids beyond 2^53 once went through floats
+    d = spark.createDataFrame([(None, "a b"), (2**60 + 1, "c"), (-(2**53) - 1, None)], "doc_id long, text string").coalesce(1)
+    rows = packing.tokenised_pieces(d, tokenizer_file("byte_bpe_50k.json")).collect()
+    assert [r["id"] for r in rows] == [None, 2**60 + 1, -(2**53) - 1] and rows[2]["ids"] == bytearray(4)
