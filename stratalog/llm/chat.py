@@ -19,6 +19,8 @@ from .common import done_with, materialise, text_of
 
 #: The template: each turn is HEAD, role, ": ", text, TAIL, line end.
 HEAD, TAIL = "### ", " </turn>"
+#: Messages to a file of the tables of links, which are numbers only.
+FILE_ROWS = 50_000
 
 _ESCAPE = re.compile(r"\\|#(?=##)|<(?=/turn>)")
 _ESCAPED = {"\\": "\\\\", "#": "\\h", "<": "\\l", ":": "\\c", "\n": "\\n"}
@@ -69,11 +71,15 @@ def chosen_paths(nodes: DataFrame, rounds: int = 40) -> DataFrame:
     root. Branches rank by the sum of their scores, then by length, then by the smaller leaf. Messages whose parents run
     in a circle belong to no branch and are left out.
     """
-    nodes = materialise(nodes.select("tree", "node", "parent", "score"), "nodes")
+    written = hasattr(nodes, "_stratalog_path")  # no need to write again what can be read again
+    nodes = nodes.select("tree", "node", "parent", "score")
+    if not written:
+        nodes = materialise(nodes, "nodes")
+    files = -(-nodes.count() // FILE_ROWS)  # a table has a row a message at most
     there = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     linked = nodes.join(there, (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("n")), "left")
     # a round's table says of each message what message its stretch ends before (null: it reaches the root), and the stretch's score and length
-    reach = [materialise(linked.select("tree", "node", F.col("n").alias("up"), F.col("score").alias("total"), F.lit(1).cast("bigint").alias("length")), "reach")]
+    reach = [materialise(linked.select("tree", "node", F.col("n").alias("up"), F.col("score").alias("total"), F.lit(1).cast("bigint").alias("length")), "reach", files)]
     still_open = _open(reach[0]).count()
     while still_open:
         if len(reach) > rounds:
@@ -82,7 +88,7 @@ def chosen_paths(nodes: DataFrame, rounds: int = 40) -> DataFrame:
         far = last.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("length").alias("longer"))
         doubled = _open(last).join(far, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")))
         grown = doubled.select("tree", "node", F.col("far").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("length") + F.col("longer")).alias("length"))
-        reach.append(materialise(grown.unionByName(last.filter("up IS NULL")), "reach"))
+        reach.append(materialise(grown.unionByName(last.filter("up IS NULL")), "reach", files))
         now_open = _open(reach[-1]).count()
         if now_open == still_open:
             break  # of what a tree has open, the uppermost half always ends, so only circles are left
@@ -90,11 +96,11 @@ def chosen_paths(nodes: DataFrame, rounds: int = 40) -> DataFrame:
     parents = nodes.select("tree", F.col("parent").alias("node")).distinct()
     leaves = reach[-1].filter("up IS NULL").join(parents, ["tree", "node"], "left_anti")
     best = leaves.groupBy("tree").agg(F.max(F.struct("total", "length", (-F.col("node")).alias("last"))).alias("b"))
-    path = materialise(best.select("tree", (-F.col("b.last")).alias("node"), F.lit(0).cast("bigint").alias("place"), F.col("b.total").alias("branch_score")), "path")
+    path = materialise(best.select("tree", (-F.col("b.last")).alias("node"), F.lit(0).cast("bigint").alias("place"), F.col("b.total").alias("branch_score")), "path", files)
     for k in reversed(range(len(reach))):
         step = _open(reach[k]).select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         more = path.join(step, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n"))).select("tree", F.col("up").alias("node"), (F.col("place") + (1 << k)).alias("place"), "branch_score")
-        longer, shorter = materialise(path.unionByName(more), "path"), path
+        longer, shorter = materialise(path.unionByName(more), "path", files), path
         path = longer
         done_with(shorter)
         done_with(reach[k])

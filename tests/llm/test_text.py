@@ -225,3 +225,32 @@ def test_best_branches_against_brute_force(spark, seed):
             best.append((sum(nodes[n][1] for n in path), len(path), -leaf, path))
         want = max(best)[3] if best else []
         assert [n for _, n in sorted(got.get(tree, []))] == want, tree
+
+
+def test_few_messages_make_few_files_whatever_the_partitions(spark, monkeypatch):
+    made = []
+
+    def counted(df, name, *rest, plain=chat.materialise):
+        made.append((name, plain(df, name, *rest)))
+        return made[-1][1]
+
+    def written(df, count=chat.done_with):
+        counts.extend((n, len(d.inputFiles())) for n, d in made if d is df)
+        count(df)
+
+    counts = []
+    monkeypatch.setattr(chat, "materialise", counted)
+    monkeypatch.setattr(chat, "done_with", written)
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    df = spark.createDataFrame([(c, t, "user", f"{c} {t}") for c in range(60) for t in range(9)], "conv_id long, turn long, role string, text string")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = chat.format_conversations(chat.reply_chains(df)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((x["tree"], x["n_turns"]) for x in got) == [(c, 9) for c in range(60)]
+    assert {n for n, _ in counts} == {"reach", "path"} and max(k for _, k in counts) == 1, counts
+    assert [n for n, _ in made].count("nodes") == 0  # the messages are written already
